@@ -23,10 +23,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirespark.llm._arrow import slices
 from quirespark.llm._components import components
 from quirespark.llm._store import materialise
 
@@ -34,6 +34,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 MOST_BITS = 4
 SHINGLE = 4
 LIST_LIMIT = 128
+#: shared keys (a long each) are broadcast up to this many, else joined by a shuffle
+BROADCAST_KEYS = 2_000_000
 _BYTES = 8
 
 
@@ -41,8 +43,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-#: One mask for each set of four byte positions, as signed longs.
-MASKS = [_signed(sum(0xFF << (8 * p) for p in s)) for s in combinations(range(_BYTES), _BYTES - MOST_BITS)]
+#: The sets of four byte positions.
+POSITIONS = list(combinations(range(_BYTES), _BYTES - MOST_BITS))
 #: Every flip of at most two bits.
 FLIPS = [0] + [_signed(1 << i) for i in range(64)] + [_signed((1 << i) | (1 << j)) for i in range(64) for j in range(i)]
 
@@ -86,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches, "text"):
             fps = [_signed(fingerprint_of(t.as_py(), shingle)) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), b.column("text_key")], names=["doc_id", "fp", "text_key"])
 
@@ -100,16 +102,29 @@ def _pairs_within(lists: DataFrame) -> DataFrame:
     return pairs.filter(F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _key(fp: Column, number: int, positions: tuple[int, ...]) -> Column:
+    """One long of a position set's number and its four bytes."""
+    key = F.lit(number << 32)
+    for k, p in enumerate(positions):
+        key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(0xFF)), 8 * k))
+    return key
+
+
 def links(spark: SparkSession, values: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """Links (a, b) of a graph on distinct ``fp`` with the components of "at most four bits apart"."""
+    """Links (a, b) of a graph on distinct ``fp`` with the components of "at most four bits apart".
+
+    Lists are counted by key alone, partial counts first; only members of lists
+    of two or more are then gathered.
+    """
     from pyspark.sql import Window
 
-    fp = F.col("fp")
-    posted = values.select(fp, F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m)) for m in MASKS])).alias("s", "bytes"))
-    shared = posted.groupBy("s", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialise(spark, shared, "postings")
-    members = materialise(spark, posted.join(shared, ["s", "bytes"]), "members")
-    short = members.filter(F.col("n") <= list_limit).groupBy("s", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    # every value becomes 70 rows: spread them first, as a few small partitions are merged otherwise
+    spread = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    posted = spread.select("fp", F.explode(F.array(*[_key(F.col("fp"), n, p) for n, p in enumerate(POSITIONS)])).alias("key"))
+    shared = materialise(spark, posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "postings")
+    few = shared.count() <= BROADCAST_KEYS
+    members = materialise(spark, posted.join(F.broadcast(shared) if few else shared, "key"), "members")
+    short = members.filter(F.col("n") <= list_limit).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     long_ = members.filter(F.col("n") > list_limit).select("fp").distinct()
     near = long_.select("fp", F.explode(F.transform(F.array(*[F.lit(f) for f in FLIPS]), lambda m: F.col("fp").bitwiseXOR(m))).alias("near"))
     chained = near.select("near", F.col("fp").alias("a"), F.lag("fp").over(Window.partitionBy("near").orderBy("fp")).alias("b")).filter(F.col("b").isNotNull())
