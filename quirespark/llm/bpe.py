@@ -25,6 +25,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirespark.llm._arrow import slices
+
 SHORT = 64
 CACHE_WORDS = 400_000
 _NONE = 1 << 60
@@ -168,8 +170,8 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", tokens_col: str = "tokens") -> DataFrame:
-    """``docs`` with the ids and token strings of each whole text (null and empty: empty arrays)."""
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with the ids of each whole text (null and empty: an empty array)."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index(text_col)
 
@@ -177,14 +179,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         import pyarrow as pa
 
         bpe = tokenizer(path)
-        for b in batches:
-            ids = [bpe.encode(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([[bpe.tokens[i] for i in x] for x in ids], pa.list_(pa.string()))],
-                names=[*b.schema.names, ids_col, tokens_col],
-            )
+        for b in slices(batches, at):
+            ids = pa.array([bpe.encode(t.as_py()) for t in b.column(at)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, ids_col])
 
-    return docs.mapInArrow(run, f"{schema}, `{ids_col}` array<int>, `{tokens_col}` array<string>")
+    return docs.mapInArrow(run, f"{schema}, `{ids_col}` array<int>")
 
 
 def decode(frame: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -196,7 +195,7 @@ def decode(frame: DataFrame, path: str, ids_col: str = "ids", text_col: str = "d
         import pyarrow as pa
 
         bpe = tokenizer(path)
-        for b in batches:
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, max(whole.num_rows, 1), 256)):
             texts = [None if x.as_py() is None else bpe.decode(x.as_py()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
 
@@ -211,7 +210,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         bpe, sha = tokenizer(path), hashlib.sha256
-        for b in batches:
+        for b in slices(batches, "text"):
             n, ids, texts = [], [], []
             for t in b.column("text"):
                 found = [p for p in bpe.pieces(t.as_py() or "") if p[0]]

@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirespark.llm._arrow import slices
 from quirespark.llm._store import materialise, path_of, read_shared
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -148,7 +149,7 @@ def _suspected_lines(docs: DataFrame, path: str | None, segments: int, least_cha
             words = np.zeros((segments, SEGMENT_BITS // 64), np.uint64)
             for s, bits in zip(t["seg"].to_pylist(), t["bits"].to_pylist()):
                 words[s] = np.frombuffer(bits, np.uint64)
-        for b in batches:
+        for b in slices(batches, "text"):
             at: list[int] = []
             keys: list[bytes] = []
             for i, t in enumerate(b.column("text")):
@@ -207,7 +208,7 @@ def _apply(docs: DataFrame, path: str, least_chars: int) -> DataFrame:
         t = read_shared(path, ["key", "keeper"])
         held = dict(zip(map(_digest128, t["key"].to_pylist()), t["keeper"].to_pylist()))
         del t
-        for b in batches:
+        for b in slices(batches, at):
             texts, total, dropped = [], [], []
             for doc, cell in zip(b.column(ids), b.column(at)):
                 raw, doc = cell.as_py(), doc.as_py()
@@ -241,7 +242,7 @@ def _apply_joined(docs: DataFrame, keys: DataFrame, least_chars: int) -> DataFra
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches, "text"):
             texts, total, dropped = [], [], []
             for cell, gone in zip(b.column(names.index("text")), b.column("__drop")):
                 raw, gone = cell.as_py(), set(gone.as_py() or ())

@@ -29,6 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirespark.llm._arrow import slices
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 LEAST_WORDS = 8
@@ -139,7 +141,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches, 1):
             rows = [judge(t.as_py()) for t in b.column(1)]
             cols = list(zip(*rows)) if rows else [[] for _ in _OUT]
             kinds = [pa.bool_() if c in ("base_failed", "kept") else pa.int64() for c in _OUT]
@@ -172,7 +174,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", clean: bool = False) -> D
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches, at):
             pick = [i for i, t in enumerate(b.column(at)) if judge(t.as_py())[6]]
             if not pick:
                 continue

@@ -21,6 +21,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirespark.llm._arrow import slices
+
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
@@ -137,7 +139,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches, 1):
             rows = list(zip(*(scan(t.as_py()) for t in b.column(1)))) or [[]] * 5
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
