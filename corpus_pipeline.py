@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents' columns but the text, with token ids and the text decoded from them."""
     path = bpe.vocabulary_path()
-    return bpe.decode(bpe.encode(docs, path).drop("text", "tokens"), path)
+    return bpe.decode(bpe.encode(docs, path).drop("text"), path)
 
 
 STAGES = [
