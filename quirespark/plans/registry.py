@@ -1,9 +1,17 @@
-"""Registered queries of the document operators."""
+"""Registered queries of the document operators and their SQL."""
+
+from __future__ import annotations
+
+from quirespark.plans import box_queries
+
+
+def _modules():
+    return (box_queries,)
 
 
 def queries():
-    return {}
+    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for m in _modules() for k, v in m.SQL.items()}
