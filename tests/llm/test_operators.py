@@ -1,0 +1,424 @@
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from quirespark.llm import bpe, exact_dedup, licenses, line_dedup, mixing, quality, secrets, sharding, simhash, url_filter
+from quirespark.llm._components import components
+from tests.llm.conftest import PASSAGE, texts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+EXTRA = ["lang", "source", "n_chars", "h", "key", "kept_id", "rank"]
+
+
+def rows_of(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
+
+
+def groups_of(n, linked):
+    home = list(range(n))
+
+    def find(i):
+        while home[i] != i:
+            i = home[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = find(i), find(j)
+                home[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+# -- 1
+
+
+def plain_print(text):
+    import xxhash
+
+    words = WORD.findall((text or "").translate(LOW))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def expected_groups(rows):
+    prints = [plain_print(t) for _, t in rows]
+    root = groups_of(len(rows), lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 4)
+    least = defaultdict(list)
+    for (i, _), r in zip(rows, root):
+        if i is not None:
+            least[r].append(i)
+    return [(i, f"{p:016x}", min(least[r]) if least[r] else None) for (i, _), p, r in zip(rows, prints, root)]
+
+
+@pytest.mark.parametrize("limit", [128, 1])
+def test_simhash_against_all_pairs(spark, docs, limit):
+    got = simhash.near_groups(spark, docs, list_limit=limit).withColumn("f", simhash.hex_of(F.col("fp")))
+    assert rows_of(got, "doc_id", "f", "component_id") == sorted(expected_groups(texts()), key=repr)
+
+
+def test_simhash_long_lists_lose_no_link(spark):
+    import random
+
+    rnd = random.Random(5)
+    base = rnd.getrandbits(64)
+    values = {base}
+    while len(values) < 60:
+        v = rnd.choice(sorted(values))
+        for b in rnd.sample(range(64), rnd.randint(1, 5)):
+            v ^= 1 << b
+        values.add(v)
+    values |= {rnd.getrandbits(64) for _ in range(20)}
+    values = sorted(values)
+    df = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    root = groups_of(len(values), lambda i, j: bin(values[i] ^ values[j]).count("1") <= 4)
+    want = Counter(Counter(root).values())
+    for limit in (2, 500):
+        got = components(spark, simhash.links(spark, df, limit))
+        sizes = Counter(r["root"] for r in got.collect())
+        assert Counter(sizes.values()) == Counter({k: v for k, v in want.items() if k > 1})
+
+
+def test_near_dedup_keeps_one_of_each_group(spark, docs, empty):
+    kept = simhash.near_dedup(spark, docs)
+    assert kept.columns == docs.columns
+    want = {(c, f if c is None else None) for _, f, c in expected_groups(texts())}
+    assert kept.count() == len(want)
+    assert simhash.near_dedup(spark, empty).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 9), (7, 7), (None, 1)], "a long, b long")
+    assert rows_of(components(spark, edges), "node", "root") == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8)]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    assert {r["root"] for r in components(spark, chain).collect()} == {0}
+
+
+# -- 2
+
+
+def test_every_known_license_is_found_in_other_spelling(spark):
+    forms = [(k, n, "Copyright (c) 2019 Jane Roe\n" + t.replace("License", "Licence").upper().replace("\n", " \n  ") + "  ") for k, (n, t) in enumerate(licenses.KNOWN)]
+    df = spark.createDataFrame(forms, "doc_id long, want string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark, df).collect()}
+    assert all(got[k] == n for k, n, _ in forms)
+    assert all(re.search(licenses.STEMS, t.lower()) for _, t in licenses.KNOWN)
+
+
+def test_license_lines_and_odd_rows(spark, docs, empty):
+    got = {(r["doc_id"], r["notices"]): r["license"] for r in licenses.scan(spark, docs).collect()}
+    assert (50, "MIT") in got and got[50, "MIT"] is None
+    assert got[51, ""] is None and got[None, ""] is None
+    assert licenses.scan(spark, docs).count() == len(texts())
+    assert licenses.scan(spark, empty).count() == 0
+
+
+# -- 3
+
+
+def plain_base(text):
+    text = text or ""
+    name = "(" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])"
+    assign = re.compile(name + "[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    out = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [f"{k}:{a}:{b}" for a, _, b, k in sorted(out)]
+
+
+def test_secret_base_spans(spark, docs, empty):
+    got = rows_of(secrets.find_secrets(docs), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    want = []
+    for i, t in texts():
+        spans = plain_base(t)
+        kinds = [s.split(":")[0] for s in spans]
+        want.append((i, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    assert secrets.find_secrets(empty).count() == 0
+
+
+def test_failing_base_match_still_consumes():
+    assert secrets.base_spans("secret: token: abcdefghij") == []
+    assert secrets.scan("tokenK = a")[0] == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('db_pwd = "Xk29!fj20-sl"', ["Xk29!fj20-sl"]),
+        ('base = "Xk29fj20sl"\npassphrase = base + "Zq81aa"', ["Xk29fj20sl", "Zq81aa"]),
+        ('{"client_credential": "a8F3kk29!sLq0"}', ["a8F3kk29!sLq0"]),
+        ("export AUTH_TOKEN_VALUE=9f8Hs7-2kQ.p", ["9f8Hs7-2kQ.p"]),
+        ('greeting = "hello there friend"', []),
+        ('db_pwd = "changeme"', []),
+        ("The chapter: a token of love = nothing", []),
+    ],
+)
+def test_lexed_pairs(text, found):
+    base, spans = plain_base(text), [s for s in secrets.scan(text)[4].split(",") if s]
+    lexed = [s.split(":") for s in spans if s.startswith("lexed")]
+    assert [text[int(a) : int(b)] for _, a, b in lexed] == found or base
+    assert all(b in spans for b in base)
+
+
+def test_redaction():
+    assert secrets.redact("x password=abcdefgh1 y") == "x [SECRET] y"
+    assert secrets.redact(None) is None
+
+
+# -- 4
+
+
+def plain_mix(rows):
+    keyed = []
+    for (i, t), s in rows:
+        text_key = hashlib.md5((t or "").encode()).hexdigest()
+        keyed.append((s, hashlib.md5(f"{'' if i is None else i}/{text_key}".encode()).hexdigest(), len(WORD.findall(t or "")), i))
+    names = sorted({k[0] for k in keyed if k[0] is not None}) + ([None] if any(k[0] is None for k in keyed) else [])
+    sizes = {n: sum(k[2] for k in keyed if k[0] == n) for n in names}
+    total, capped = sum(sizes.values()), set()
+    weight = {n: (1, 2, 3)[k % 3] for k, n in enumerate(names)}
+    while True:
+        rest = sum(weight[n] for n in names if n not in capped)
+        level = (total - sum(3 * sizes[n] for n in capped)) / rest if rest else 0
+        over = {n for n in names if n not in capped and weight[n] * level > 3 * sizes[n]}
+        if not over:
+            break
+        capped |= over
+    target = {n: 3 * sizes[n] if n in capped else weight[n] * level for n in names}
+    turns, cum = [], Counter()
+    for s, o, size, i in sorted(keyed, key=lambda k: (names.index(k[0]), k[1], k[2])):
+        cum[s] += size
+        turns += [((t * sizes[s] + cum[s]) / target[s], names.index(s), t, size, (s, o, size, i)) for t in range(3) if size and target[s] and t * sizes[s] < target[s] + sizes[s]]
+    left, taken = total, Counter()
+    for *_, size, who in sorted(turns, key=lambda t: t[:3]):
+        took = min(size, left)
+        taken[who] += took
+        left -= took
+    return [(k[3], k[2], round(target[k[0]], 6)) for k in keyed], sum(taken.values()), total, {n: sum(v for w, v in taken.items() if w[0] == n) for n in names}, target
+
+
+def test_mixing(spark, docs, empty):
+    sources = [(("a", "b", None, "Z")[k % 4] if k % 3 else "a") for k in range(len(texts()))]
+    rows = list(zip(texts(), sources))
+    got = mixing.mix(spark, docs).collect()
+    want, spent, total, by_source, target = plain_mix(rows)
+    assert sorted(((r["doc_id"], r["size"], round(r["target"], 6)) for r in got), key=repr) == sorted(want, key=repr)
+    assert sum(r["taken"] for r in got) == spent == total
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    key = lambda rs: sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in rs)
+    assert key(got) == key(mixing.mix(spark, docs.repartition(7)).collect())
+    assert mixing.mix(spark, empty).count() == 0
+    out = mixing.mixed(spark, docs)
+    assert out.columns == docs.columns
+    words = sum(len(WORD.findall(r["text"])) for r in out.collect())
+    assert words == spent
+
+
+# -- 5
+
+
+def test_exact_dedup(spark, docs, empty):
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in texts()]
+    ids = defaultdict(list)
+    for (i, _), n in zip(texts(), norm):
+        ids[n].append(i)
+    want = []
+    for (i, _), n in zip(texts(), norm):
+        keep = min((x for x in ids[n] if x is not None), default=None)
+        want.append((i, keep, len(ids[n]), i == keep, hashlib.sha256(n.encode()).hexdigest()))
+    for capacity in (exact_dedup.BUCKET_KEYS, 3):
+        got = exact_dedup.groups(spark, docs, bucket_keys=capacity)
+        assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
+    assert exact_dedup.groups(spark, empty).count() == 0
+    once = exact_dedup.dedup(spark, docs)
+    assert once.columns == docs.columns and once.count() == len(ids)
+
+
+def test_directory_splits_overfull_buckets(spark):
+    keys = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("sha"))
+    buckets = exact_dedup.directory(keys, bucket_keys=300)
+    assert sum(2.0**-d for d, _ in buckets) == 1.0 and len(buckets) >= 7
+
+
+# -- 6
+
+
+def test_sharding(spark, docs, empty):
+    got = sharding.place(docs).collect()
+    want = sorted(((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts()), key=repr)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=repr) == want
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 40) and 0 <= r["shard"] < 40 and r["law"] == "key"
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.place(empty).count() == 0
+
+
+def test_shards_take_rows_by_weight(spark):
+    keys = spark.range(20000)
+    n = {r["s"]: r["count"] for r in keys.groupBy(sharding.shard_of(F.col("id"), [1, 2, 0, 5]).alias("s")).count().collect()}
+    assert set(n) == {0, 1, 3} and abs(n[3] / 12500 - 1) < 0.05 and abs(n[0] / 2500 - 1) < 0.1
+    moved = keys.filter(sharding.shard_of(F.col("id"), 40) != sharding.shard_of(F.col("id"), 41)).select(sharding.shard_of(F.col("id"), 41).alias("s"))
+    assert {r["s"] for r in moved.distinct().collect()} == {40} and abs(moved.count() / (20000 / 41) - 1) < 0.2
+
+
+# -- 7
+
+
+def plain_lines(rows):
+    held = defaultdict(list)
+    split = [(i, (t or "").split("\n")) for i, t in rows]
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
+    for i, lines in split:
+        for k in {key(x) for x in lines if len(key(x)) >= 40}:
+            held[k].append(i)
+    keeper = {k: max((i for i in v if i is not None), default=None) for k, v in held.items() if len(v) >= 5}
+    out = []
+    for i, lines in split:
+        kept = [x for x in lines if key(x) not in keeper or keeper[key(x)] == i]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize("memory", [line_dedup.MEMORY_BYTES, 0])
+def test_line_dedup(spark, docs, empty, memory):
+    got = line_dedup.dedup_lines(spark, docs, memory_bytes=memory)
+    assert got.columns == [*docs.columns, "line_count", "line_dropped"]
+    assert sorted(((r["doc_id"], r["line_count"], r["line_dropped"], r["text"] or "") for r in got.collect()), key=repr) == sorted(plain_lines(texts()), key=repr)
+    assert line_dedup.dedup_lines(spark, empty, memory_bytes=memory).count() == 0
+
+
+def test_bloom_has_no_false_negative():
+    import numpy as np
+
+    h = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+    f = line_dedup.Bloom(1 << 17)
+    f.add(h[:3000])
+    assert f.has(h[:3000]).all() and f.has(h[3000:]).mean() < 0.05
+
+
+# -- 8
+
+
+def plain_quality(text):
+    words = WORD.findall(text or "")
+    windows = defaultdict(list)
+    for i in range(len(words) - 2):
+        windows[tuple(words[i : i + 3])].append(i)
+    cover = {j for at in windows.values() if len(at) > 1 for i in at for j in (i, i + 1, i + 2)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(cover), n < 50 or 100 * len(cover) > 50 * n
+
+
+def test_quality_base(docs, empty):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = quality.quality(docs)
+    assert rows_of(got, "doc_id", *names) == sorted(((i, *plain_quality(t)) for i, t in texts()), key=repr)
+    assert got.filter("base_failed and kept").count() == 0
+    assert quality.quality(empty).count() == 0
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == got.filter("kept").count()
+
+
+@pytest.mark.parametrize(
+    ("line", "rule"),
+    [
+        ("THIS!! IS!! ALL!! VERY!! LOUD!! AND!! RATHER!! LONG!!", "punctuation"), ("Home | News | Sport | Weather | Shop | Earth", "navigation"), ("a%%% b&&& c### d*** e$$$ f%%% g&&& h###", "symbols"),
+        ("EVERY WORD OF THIS LINE IS WRITTEN IN CAPITALS", "shouting"), ("We use cookies to make this site better.", "boilerplate"), ("A plain sentence of prose, with a stop at its end.", None), ("SHORT HEADING", None), ("", None), ("中文 без ALL CAPS here, just some text.", None),
+    ],
+)
+def test_line_rules(line, rule):
+    assert quality.line_fails(line) == rule
+
+
+def test_quality_agrees_with_labels(spark):
+    d = "/root/testdata/sf0.01"
+    got = quality.quality(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed")
+    right = got.filter(F.col("kept") == (F.col("quality") == 1)).count()
+    assert right / got.count() > 0.98
+
+
+# -- 9
+
+
+def test_bpe_against_the_library(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    lib = Tokenizer.from_file(path)
+    want = []
+    for i, t in texts():
+        e = lib.encode(t or "", add_special_tokens=False).ids
+        d = lib.decode(e, skip_special_tokens=False)
+        want.append((i, len(e), hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest()))
+    assert rows_of(bpe.digests(docs, path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    assert bpe.digests(empty, path).count() == 0
+
+
+def test_bpe_round_trip_and_long_words(docs):
+    import random
+
+    path = bpe.vocabulary_path()
+    own = bpe.WordBpe(path)
+    rnd = random.Random(3)
+    for n in (1, 5, 63, 64, 65, 300):
+        word = [own.symbols[rnd.choice(b"abcdetnohs")] for _ in range(n)]
+        assert own._scan(list(word)) == own._heap(list(word))
+    out = bpe.decode(bpe.encode(docs, path), path)
+    assert out.columns == [*docs.columns, "ids", "decoded"]
+    assert all(r["decoded"] == own.decode(r["ids"]) for r in out.collect())
+
+
+# -- 10
+
+
+def plain_page(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return host.translate(LOW), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+URLS = [
+    "http://a.example.com/en/7x", "https://EXAMPLE.com/en/8", "http://xcom/en/1", "http://b.net/de/8", "http://example.net/de/81?q", "https://w.org/es/1#x", "http://w.org/fr/1", None, "no scheme /en/", "ftp://com/en/", "http://a.com/en", "http://mirror.io/1", "http://mirror.io/2", "http://mirror.io/3/",
+]
+
+
+def test_url_filter(spark):
+    html = {11: '<link rel="canonical" href="http://b.com/en/9">', 12: '<meta http-equiv="refresh" content="0; url=/1">', 3: '<link href="http://example.com/en/77" rel=canonical>'}
+    pages = spark.createDataFrame([(k, u, html.get(k, "<p>"), 1) for k, u in enumerate(URLS)] + [(13, URLS[13], None, 2)], "page_id long, url string, html string, host int")
+    got = {r["page_id"]: r for r in url_filter.judge(spark, pages).collect()}
+    rules = url_filter.RULES
+    for k, u in enumerate(URLS):
+        host, path = plain_page(u)
+        fits = [(len(r), v, r) for v, r in rules for h, p in [(r.split("/", 1)[0], "/" + r.split("/", 1)[1])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (host, path, best[2] if best else None)
+        if best:
+            assert got[k]["verdict"] == best[1]
+    # 11 links to a blocked url; 12 refreshes to 11; 3 keeps its own rule
+    assert [got[k]["verdict"] for k in (11, 12, 13, 7)] == ["block", "block", "allow", "allow"]
+    redirects = spark.createDataFrame([("http://mirror.io/3", "http://b.com/en/1"), ("http://mirror.io/3", "http://x.example.com/en/70")], "from_url string, to_url string")
+    again = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark, pages, redirects=redirects).collect()}
+    assert again[13] == "allow"
+    assert url_filter.judge(spark, pages.limit(0)).count() == 0
+
+
+def test_passage_fixture():
+    assert len(PASSAGE) >= 40
