@@ -13,8 +13,9 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
 
     def half(seq):
         out: list[np.ndarray] = []
+        turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
         for p in seq:
-            while len(out) >= 2 and np.cross(out[-1] - out[-2], p - out[-2]) <= 0:
+            while len(out) >= 2 and turn(out[-2], out[-1], p) <= 0:
                 out.pop()
             out.append(p)
         return out[:-1]

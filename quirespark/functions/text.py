@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,20 +25,16 @@ KEYWORDS = ("ABSTRACT", "INTRODUCTION", "REFERENCES", "REFERENCE")
 _HAN = "一二三四五六七八九十百千万亿零壹贰叁肆伍陆柒捌玖拾"
 _ROMAN = "(?:I|II|III|IV|V|VI|VII|VIII|IX|X)"
 _ARABIC = r"[1-9][0-9]*(?:\.[1-9][0-9]*)*"
-NUMBERED = re.compile(rf"^\s*({_ARABIC}[.、]?|[(（]{_ARABIC}[)）]|[{_HAN}][、.]?|[(（][{_HAN}]+[)）]|{_ROMAN}(?:\.|\b))(\s+)(.*)$")
-VL_NUMBERED = re.compile(rf"^\s*((?:{_ARABIC}[.、]?|[(（](?:[1-9][0-9]*|[{_HAN}]+)[)）]|[{_HAN}]+[、.]?|{_ROMAN}(?:\.|\s)))(\s*)(.*)$")
+NUMBERED = re.compile(rf"^\s*({_ARABIC}[.、]?|[(（]{_ARABIC}[)）]|[{_HAN}][、.]?|[(（][{_HAN}]+[)）]|{_ROMAN}(?:\.|\b))(\s+)(.*)\Z")
+VL_NUMBERED = re.compile(rf"^\s*((?:{_ARABIC}[.、]?|[(（](?:[1-9][0-9]*|[{_HAN}]+)[)）]|[{_HAN}]+[、.]?|{_ROMAN}(?:\.|\s)))(\s*)(.*)\Z")
 _JAVA_NUMBERED = rf"^\s*({_ARABIC}[.、]?|[(（]{_ARABIC}[)）]|[{_HAN}][、.]?|[(（][{_HAN}]+[)）]|{_ROMAN}(?:\.|\b))(\s+)(.*)$"
 
 
 def as_udf(f: Callable, returns: str = "string"):
-    """A pandas function applying ``f`` to each non-null value (or tuple of values)."""
-    import pandas as pd
-
+    """A pandas function applying ``f`` to each non-null value."""
     @F.pandas_udf(returns)
-    def run(first: pd.Series, *rest: pd.Series) -> pd.Series:
-        if rest:
-            return pd.Series([None if v[0] is None else f(*v) for v in zip(first, *rest)], index=first.index)
-        return first.map(lambda v: None if v is None else f(v))
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else f(v))
 
     return run
 

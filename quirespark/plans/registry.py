@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quirespark.plans import box_queries
+from quirespark.plans import box_queries, page_queries, text_queries
 
 
 def _modules():
-    return (box_queries,)
+    return (box_queries, text_queries, page_queries)
 
 
 def queries():
