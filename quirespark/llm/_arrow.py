@@ -6,6 +6,15 @@ from collections.abc import Iterable, Iterator
 
 SLICE_BYTES = 2 << 20
 SLICE_ROWS = 1024
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark, most_bytes: int = BATCH_BYTES) -> None:
+    """Lower the session's Arrow batches to ``most_bytes``: a task holds one on either side of its Python worker."""
+    now = str(spark.conf.get(_BATCH_CONF))
+    if now.endswith("b") and now[:-1].lstrip("-").isdigit() and not 0 < int(now[:-1]) <= most_bytes:
+        spark.conf.set(_BATCH_CONF, f"{most_bytes}b")
 
 
 def slices(batches: Iterable, text: int | str, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.llm import bpe, exact_dedup, licenses, line_dedup, mixing, quality, secrets, sharding, simhash, url_filter
+from quirespark.llm._arrow import bound_batches
 from quirespark.llm.oracles import ORACLES
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -41,9 +43,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(spark, _docs(spark, sf_dir).select("doc_id", "text"))
-    text = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(text, 256).alias("kept_sha256"))
+    out = line_dedup.dedup_lines(spark, _docs(spark, sf_dir).select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
