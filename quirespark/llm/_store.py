@@ -52,6 +52,18 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` does not have, in any case of letters."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def path_of(df: DataFrame) -> str:
     return df._quire_path  # noqa: SLF001
 

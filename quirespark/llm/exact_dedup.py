@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm._store import materialise
+from quirespark.llm._store import materialise, unused
 
 BUCKET_KEYS = 1_000_000
 MOST_DEPTH = 20
@@ -71,21 +71,9 @@ def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, most_depth: int =
 
 
 def _bucket(key: Column, buckets: list[tuple[int, int]]) -> Column:
-    """Number of the bucket that owns a key: the directory as a sorted array of first prefixes."""
+    """Number of the directory slot that owns a key: its prefix at the directory's depth."""
     deep = max(d for d, _ in buckets)
-    firsts = [p << (deep - d) for d, p in buckets]
-    if len(firsts) == 1:
-        return F.lit(0)
-    at = _prefix(key, deep)
-    # equal depth: the prefix is the bucket; else find it in the directory table of 2^depth slots
-    if len(firsts) == 1 << deep:
-        return at.cast("int")
-    slots, k = [], -1
-    for s in range(1 << deep):
-        if k + 1 < len(firsts) and firsts[k + 1] == s:
-            k += 1
-        slots.append(k)
-    return F.element_at(F.array(*[F.lit(x) for x in slots]), (at + 1).cast("int")) if deep <= 10 else at.cast("int")
+    return _prefix(key, deep).cast("int") if deep else F.lit(0)
 
 
 def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -120,11 +108,12 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one a text, all columns kept; rows repeating id and text are reduced to one."""
-    kept = groups(spark, docs, id_col, text_col).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__n"))
-    kept = materialise(spark, kept.withColumnsRenamed({"doc_id": "__i", "text_sha256": "__k"}), "kept")
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["__i"]) & (F.sha2(normalised(docs[text_col]), 256) == kept["__k"]))
-    once = joined.filter("__n = 1").select(*docs.columns)
-    return once.unionByName(joined.filter("__n > 1").dropDuplicates(["__i", "__k"]).select(*docs.columns))
+    kept = groups(spark, docs, id_col, text_col).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    i, k, n = unused(docs, "kept_id", "kept_sha", "kept_rows")
+    kept = materialise(spark, kept.select(F.col("doc_id").alias(i), F.col("text_sha256").alias(k), F.col("n").alias(n)), "kept")
+    joined = docs.join(kept, docs[id_col].eqNullSafe(kept[i]) & (F.sha2(normalised(docs[text_col]), 256) == kept[k]))
+    once = joined.filter(F.col(n) == 1).select(*[f"`{c}`" for c in docs.columns])
+    return once.unionByName(joined.filter(F.col(n) > 1).dropDuplicates([i, k]).select(*[f"`{c}`" for c in docs.columns]))
 
 
 ORACLE_OP5 = r"""

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.llm._arrow import slices
-from quirespark.llm._store import materialise, path_of, read_shared
+from quirespark.llm._store import materialise, path_of, read_shared, unused
 
 SPACE = b" \t\n\x0b\x0c\r"
 LEAST_CHARS = 40
 LEAST_DOCS = 5
-MEMORY_BYTES = 128 << 20
+MEMORY_BYTES = 64 << 20
 #: bits of an owner's filters, and keys an owner should get
 OWNER_BITS = 1 << 23
 OWNER_KEYS = 400_000
@@ -195,12 +195,12 @@ def repeated_keys(spark: SparkSession, docs: DataFrame, least_chars: int = LEAST
     return counted.filter(F.col("n_docs") >= least_docs)
 
 
-def _apply(docs: DataFrame, path: str, least_chars: int) -> DataFrame:
+def _apply(docs: DataFrame, path: str, least_chars: int, extra: tuple[str, str]) -> DataFrame:
     """``docs`` with text cleaned, and n_lines and n_dropped; the keys at ``path`` fit in memory."""
     names = docs.columns
     at = names.index("text")
     ids = names.index("doc_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __n_lines long, __n_dropped long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{extra[0]}` long, `{extra[1]}` long"
 
     def run(batches):
         import pyarrow as pa
@@ -224,19 +224,19 @@ def _apply(docs: DataFrame, path: str, least_chars: int) -> DataFrame:
                 dropped.append(len(lines) - len(kept))
             columns = [*b.columns]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=[*b.schema.names, "__n_lines", "__n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=[*b.schema.names, *extra])
 
     return docs.mapInArrow(run, schema)
 
 
-def _apply_joined(docs: DataFrame, keys: DataFrame, least_chars: int) -> DataFrame:
+def _apply_joined(docs: DataFrame, keys: DataFrame, least_chars: int, extra: tuple[str, str]) -> DataFrame:
     """As ``_apply``, by joins: for more repeated keys than a task may hold."""
-    tag = docs.withColumn("__t", F.xxhash64("text"))
+    d, gone_col = unused(docs, "line_doc", "line_drop")
     lines = _suspected_lines(docs, None, 1, least_chars).join(keys, "key")
     lines = lines.filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "key").distinct()
-    drops = lines.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list("key").alias("__drop"))
-    joined = tag.join(drops, tag["doc_id"].eqNullSafe(drops["__d"]), "left")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __n_lines long, __n_dropped long"
+    drops = lines.groupBy(F.col("doc_id").alias(d)).agg(F.collect_list("key").alias(gone_col))
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops[d]), "left")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{extra[0]}` long, `{extra[1]}` long"
     names = docs.columns
 
     def run(batches):
@@ -244,7 +244,7 @@ def _apply_joined(docs: DataFrame, keys: DataFrame, least_chars: int) -> DataFra
 
         for b in slices(batches, "text"):
             texts, total, dropped = [], [], []
-            for cell, gone in zip(b.column(names.index("text")), b.column("__drop")):
+            for cell, gone in zip(b.column(names.index("text")), b.column(gone_col)):
                 raw, gone = cell.as_py(), set(gone.as_py() or ())
                 lines = lines_of(raw.encode() if isinstance(raw, str) else raw)
                 kept = [x for x in lines if key_of(x, least_chars) not in gone]
@@ -253,13 +253,15 @@ def _apply_joined(docs: DataFrame, keys: DataFrame, least_chars: int) -> DataFra
                 dropped.append(len(lines) - len(kept))
             columns = [b.column(c) for c in names]
             columns[names.index("text")] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "__n_lines", "__n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, *extra])
 
-    return joined.select(*names, "__drop").mapInArrow(run, schema)
+    return joined.select(*[f"`{c}`" for c in names], gone_col).mapInArrow(run, schema)
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
-    """All rows and columns of ``docs`` with text cleaned, plus __n_lines and __n_dropped (long).
+def dedup_lines(spark: SparkSession, docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, memory_bytes: int = MEMORY_BYTES, counts: tuple[str, str] = ("line_count", "line_dropped")) -> DataFrame:
+    """All rows and columns of ``docs`` with text cleaned, plus two counts (long): lines before, and lines dropped.
+
+    ``counts`` names them; ``docs`` must not have columns of those names.
 
     Keys of at least ``least_chars`` code points that at least ``least_docs``
     rows hold lose all their lines except in rows of the largest doc_id that
@@ -270,6 +272,6 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least_chars: int = LEAST_C
     source = docs.withColumn("text", F.col("text").cast("string"))
     keys = materialise(spark, repeated_keys(spark, source, least_chars, least_docs, memory_bytes), "repeated")
     size = keys.agg(F.count(F.lit(1)), F.sum(F.octet_length("key"))).first()
-    if 120 * size[0] + (size[1] or 0) <= memory_bytes:
-        return _apply(source, path_of(keys), least_chars)
-    return _apply_joined(source, keys, least_chars)
+    if 300 * size[0] <= memory_bytes and (size[1] or 0) <= memory_bytes:
+        return _apply(source, path_of(keys), least_chars, counts)
+    return _apply_joined(source, keys, least_chars, counts)

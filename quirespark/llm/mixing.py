@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirespark.llm._store import materialise
+from quirespark.llm._store import materialise, unused
 
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
@@ -110,17 +110,18 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGH
     """
     chosen = mix(spark, docs, weights, most_times).filter("taken > 0")
     # rows that repeat id and text share what they were taken
-    per = chosen.groupBy("doc_id", "text_key").agg(F.max("size").alias("__size"), F.sum("taken").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
-    per = materialise(spark, per.withColumnsRenamed({"doc_id": "__i", "text_key": "__k"}), "chosen")
+    i, k, size, total, rows, part = unused(docs, "mix_id", "mix_key", "mix_size", "mix_sum", "mix_rows", "mix_part")
+    per = chosen.groupBy(F.col("doc_id").alias(i), F.col("text_key").alias(k)).agg(F.max("size").alias(size), F.sum("taken").alias(total), F.count(F.lit(1)).alias(rows))
+    per = materialise(spark, per, "chosen")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.join(per, docs["doc_id"].eqNullSafe(per["__i"]) & (F.md5(text) == per["__k"]))
-    once = joined.filter("__rows = 1 and __sum = __size").select(*docs.columns)
-    more = joined.filter("__rows > 1 or __sum != __size").dropDuplicates(["__i", "__k"])
-    more = more.withColumn("__part", F.explode(F.expr("transform(sequence(0L, (__sum - 1) div __size), i -> least(__size, __sum - i * __size))")))
-    first = F.when(F.col("__part") == F.col("__size"), F.col("text")).otherwise(
-        F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("__part").cast("int")), " ")
-    )
-    return once.unionByName(more.withColumn("text", first).select(*docs.columns))
+    joined = docs.join(per, docs["doc_id"].eqNullSafe(per[i]) & (F.md5(text) == per[k]))
+    columns = [f"`{c}`" for c in docs.columns]
+    whole = (F.col(rows) == 1) & (F.col(total) == F.col(size))
+    more = joined.filter(~whole).dropDuplicates([i, k])
+    more = more.withColumn(part, F.explode(F.expr(f"transform(sequence(0L, ({total} - 1) div {size}), t -> least({size}, {total} - t * {size}))")))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    first = F.when(F.col(part) == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col(part).cast("int")), " "))
+    return joined.filter(whole).select(*columns).unionByName(more.withColumn("text", first).select(*columns))
 
 
 ORACLE_OP4 = r"""
