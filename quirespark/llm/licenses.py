@@ -87,11 +87,14 @@ KNOWN = (
 )
 
 
+#: a line that opens with a copyright mark or claims all rights, whatever follows on it
+COPYRIGHT = r"^[ \t/*#;>-]*(?:(?:portions )?copyright\b(?: *(?:\(c\)|©|:|[0-9])).*|©.*|\(c\) *[0-9].*|all rights reserved\.?[ \t]*)$"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text: what known texts and candidates are digested in."""
     low = F.translate(text, _UPPER, _LOWER)
-    # a line that opens with a copyright mark or claims all rights, whatever follows on it
-    low = F.regexp_replace(low, r"(?m)^[ \t/*#;>-]*(?:(?:portions )?copyright\b(?: *(?:\(c\)|©|:|[0-9])).*|©.*|\(c\) *[0-9].*|all rights reserved\.?[ \t]*)$", "")
+    low = F.regexp_replace(low, "(?md)" + COPYRIGHT, "")
     for found, spelled in SPELLINGS:
         if any(c in found for c in "\\?(["):
             low = F.regexp_replace(low, found, spelled)
@@ -128,3 +131,28 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     found = F.filter(F.transform(F.col("lines"), lambda d: F.try_element_at(F.col("by_digest"), d)), lambda x: x.isNotNull())
     out = whole.join(F.broadcast(as_map)).withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
     return out.select("doc_id", "license", F.array_join("found", ",").alias("notices"), F.size("found").cast("long").alias("n_notices"))
+
+
+def _oracle() -> str:
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+
+    def canon(x: str) -> str:
+        x = f"translate({x}, '{_UPPER}', '{_LOWER}')"
+        x = f"regexp_replace({x}, {quote('(?m)' + COPYRIGHT)}, '', 'g')"
+        for found, spelled in SPELLINGS:
+            regular = any(c in found for c in "\\?([")
+            x = f"regexp_replace({x}, {quote(found)}, {quote(spelled.replace('$1', chr(92) + '1'))}, 'g')" if regular else f"replace({x}, {quote(found)}, {quote(spelled)})"
+        return f"trim(regexp_replace({x}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
+
+    known = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in KNOWN)
+    return f"""
+WITH k AS (SELECT sha256({canon('body')}) AS digest, min(license) AS license FROM (VALUES {known}) v(license, body) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, sha256({canon('text')}) AS digest FROM d WHERE regexp_matches(text, '(?i){STEMS}')),
+l AS (SELECT r, n, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d WHERE regexp_matches(text, '(?i){STEMS}')) WHERE length(line) <= 2000 AND regexp_matches(line, '(?i){STEMS}')),
+f AS (SELECT l.r, string_agg(k.license, ',' ORDER BY l.n) AS notices, count(*) AS n_notices FROM (SELECT r, n, sha256({canon('line')}) AS digest FROM l) l JOIN k ON l.digest = k.digest GROUP BY l.r)
+SELECT d.doc_id, k.license, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices FROM d LEFT JOIN w ON d.r = w.r LEFT JOIN k ON w.digest = k.digest LEFT JOIN f ON d.r = f.r
+"""
+
+
+ORACLE_OP2 = _oracle()

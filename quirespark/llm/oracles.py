@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from quirespark.llm.exact_dedup import ORACLE_OP5
+from quirespark.llm.licenses import ORACLE_OP2
 from quirespark.llm.mixing import ORACLE_OP4
+from quirespark.llm.quality import ORACLE_OP8
+from quirespark.llm.url_filter import ORACLE_OP10
 
 _LINES = r"""
 WITH l AS (
@@ -17,4 +20,4 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM m GROUP BY row_no, doc_id
 """
 
-ORACLES = {"op4_mixing": ORACLE_OP4, "op5_exact_dedup": ORACLE_OP5, "op7_line_dedup": _LINES}
+ORACLES = {"op2_licenses": ORACLE_OP2, "op8_quality": ORACLE_OP8, "op10_url_filter": ORACLE_OP10, "op4_mixing": ORACLE_OP4, "op5_exact_dedup": ORACLE_OP5, "op7_line_dedup": _LINES}

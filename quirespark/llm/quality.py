@@ -9,8 +9,8 @@ Rules of one line (words are runs of non-white-space), each needing at least
 ``LEAST_WORDS`` words so that headings and short lines are left alone:
 
 * punctuation: at least half of the words end in two or more ``!`` or ``?``;
-* shouting: at least 80 % of the words with a cased letter are all capitals, of
-  two letters or more;
+* shouting: at least half of the words have a Latin-1 letter, and at least 80 % of
+  those have capitals, no small letter, and two characters or more;
 * symbols: at least a quarter of the words hold one of ``#*$%&|<>`` twice in a
   row;
 * navigation: at least a quarter of the words are separators (``|``, ``>``,
@@ -36,7 +36,8 @@ SYMBOL = re.compile(r"[#*$%&|<>]")
 LEAST_WORDS = 8
 MOST_LOST = 0.5
 _BLANKS = " \t\n\x0b\x0c\r"
-_DOUBLED = re.compile(r"([#*$%&|<>])\1")
+_DOUBLED = re.compile(r"##|\*\*|\$\$|%%|&&|\|\||<<|>>")
+_CAPITAL, _SMALL = re.compile("[A-ZÀ-ÖØ-Þ]"), re.compile("[a-zß-öø-ÿ]")
 _ENDS = ("!!", "??", "!?", "?!")
 _SEPARATORS = frozenset("| > » · • / ›".split())
 _BOILERPLATE = re.compile(
@@ -64,9 +65,12 @@ def line_fails(line: str, words: list[str] | None = None) -> str | None:
     if "!" in line or "?" in line:
         if 2 * sum(w.endswith(_ENDS) for w in words) >= n:
             return "punctuation"
-    if line != (low := line.lower()) and sum(map(str.isupper, line)) * 4 > len(line):
-        cased = [w for w in words if w.lower() != w.upper()]
-        if low and 2 * len(cased) >= n and 5 * sum(len(w) > 1 and w.isupper() for w in cased) >= 4 * len(cased):
+    # shouting needs a capital in two fifths of the words
+    if 5 * len(_CAPITAL.findall(line)) >= 2 * n:
+        small = [_SMALL.search(w) is not None for w in words]
+        capital = [_CAPITAL.search(w) is not None for w in words]
+        cased = sum(a or b for a, b in zip(small, capital))
+        if 2 * cased >= n and 5 * sum(len(w) > 1 and c and not k for w, c, k in zip(words, capital, small)) >= 4 * cased:
             return "shouting"
     return None
 
@@ -184,3 +188,32 @@ def keep_good(docs: DataFrame, text_col: str = "text", clean: bool = False) -> D
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _oracle() -> str:
+    some = "', '".join(sorted(_SEPARATORS))
+    boiler = _BOILERPLATE.pattern
+    count = lambda cond: f"len(list_filter(words, lambda w: {cond}))"
+    small, capital = f"regexp_matches(w, '{_SMALL.pattern}')", f"regexp_matches(w, '{_CAPITAL.pattern}')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT r, unnest(range(1, len(words) - 1)) AS i, words FROM d WHERE len(words) > 2),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS c FROM g),
+q AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM h WHERE c > 1) GROUP BY r),
+l AS (SELECT r, n, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d)),
+m AS (SELECT r, len(words) AS n, row_number() OVER (PARTITION BY r, line ORDER BY n) > 1 AS again,
+  (len(words) <= 30 AND regexp_matches(line, '(?i){boiler}')) OR (len(words) >= {LEAST_WORDS} AND (
+    4 * {count(f"w IN ('{some}')")} >= len(words) OR 4 * {count(f"regexp_matches(w, '{_DOUBLED.pattern}')")} >= len(words)
+    OR 2 * {count("right(w, 2) IN ('!!', '??', '!?', '?!')")} >= len(words)
+    OR (2 * {count(f"{small} OR {capital}")} >= len(words) AND 5 * {count(f"length(w) > 1 AND {capital} AND NOT {small}")} >= 4 * {count(f"{small} OR {capital}")}))) AS fails
+  FROM l WHERE len(words) > 0),
+s AS (SELECT r, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(n) FILTER (again OR fails), 0) AS n_lost_words, count(*) FILTER (again OR fails) AS n_failed_lines FROM m GROUP BY r),
+b AS (SELECT d.r, doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(n_lost_words, 0) AS n_lost_words FROM d LEFT JOIN q ON d.r = q.r LEFT JOIN s ON d.r = s.r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_lost_words <= n_words AS kept,
+  CAST(n_failed_lines AS BIGINT) AS n_failed_lines, CAST(n_lost_words AS BIGINT) AS n_lost_words FROM b
+"""
+
+
+ORACLE_OP8 = _oracle()
