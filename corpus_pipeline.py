@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirespark.llm import bpe, line_dedup, mixing, quality, simhash
-from quirespark.llm._store import materialise
+from quirespark.llm._arrow import bound_batches
+from quirespark.llm._store import materialise, unused
 
 #: BPE and SimHash have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -13,19 +15,23 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-first rules keep, unchanged."""
+    bound_batches(spark)
     return quality.keep_good(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that five or more documents share; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
-    out = line_dedup.dedup_lines(spark, docs)
-    return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    bound_batches(spark)
+    lines, dropped = unused(docs, "line_count", "line_dropped")
+    out = line_dedup.dedup_lines(spark, docs, counts=(lines, dropped))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    bound_batches(spark)
     return simhash.near_dedup(spark, docs)
 
 
@@ -36,8 +42,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents' columns but the text, with token ids and the text decoded from them."""
+    bound_batches(spark)
     path = bpe.vocabulary_path()
-    return bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    ids, decoded = unused(docs, "ids", "decoded")
+    return bpe.decode(bpe.encode(docs, path, ids_col=ids).drop("text"), path, ids, decoded)
 
 
 STAGES = [
