@@ -143,6 +143,11 @@ class Painter:
             if self.task == "text_detection":
                 found = boxes_from_map((gray(image) < 128).astype(float), w, h, least_score=0.3)
                 out.append([{"x1": float(q[:, 0].min()), "y1": float(q[:, 1].min()), "x2": float(q[:, 0].max()), "y2": float(q[:, 1].max()), "score": s, "poly": [{"x": float(x), "y": float(y)} for x, y in q]} for q, s in found])
+            elif self.task == "table_structure":
+                cells = [[0.0, 0.0, w / 2, h], [w / 2, 0.0, float(w), h]]
+                out.append({"tokens": ["<tr>", "<td></td>", "<td></td>", "</tr>"], "boxes": cells, "score": 0.8})
+            elif self.task == "formula_recognition":
+                out.append({"latex": f"x _ {w}", "score": 0.7})
             else:
                 out.append({"text": f"{w}x{h}", "score": 0.9})
         return out
@@ -175,6 +180,32 @@ def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "region_idx", "x1", "y1", "x2", "y2", "text")
 
 
+def _painted_layout(pages: DataFrame) -> DataFrame:
+    bars = pages.select("doc_id", "page_idx", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx"))
+    y = F.col("idx") * 30.0 + 5.0
+    return bars.select("doc_id", "page_idx", "idx", F.element_at(F.array(*[F.lit(k) for k in ("text", "table", "formula", "text")]), F.col("idx") + 1).alias("kind"), F.lit(5.0).alias("x1"), y.alias("y1"), F.lit(80.0).alias("x2"), (y + 28.0).alias("y2"))
+
+
+def ocr_under_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection parted by layout blocks, read, and refined block by block."""
+    pages = _painted(spark, sf_dir)
+    out = pipelines.overall_ocr(pages, _painted_layout(pages), lambda: Painter("text_detection"), lambda: Painter("text_recognition"))
+    return out.select("doc_id", "region_idx", "x1", "y1", "x2", "y2", "text")
+
+
+def table_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables and formulas of a layout through their models, cells on the page."""
+    pages = _painted(spark, sf_dir)
+    layout = _painted_layout(pages)
+    t, c = pipelines.analysed_tables(layout, pages, lambda: Painter("table_structure"))
+    f = pipelines.recognised_formulas(layout, pages, lambda: Painter("formula_recognition")).select("doc_id", "page_idx", "latex")
+    joined = t.select("doc_id", "page_idx", "table_idx", "confidence").join(c, ["doc_id", "page_idx", "table_idx"]).join(f, ["doc_id", "page_idx"])
+    return joined.select("doc_id", "cell_idx", "row", "col", "x1", "x2", "latex", "confidence")
+
+
+SQL["table_models"] = """SELECT n_nationkey AS doc_id, CAST(c AS INTEGER) AS cell_idx, 0 AS row, CAST(c AS INTEGER) AS col, 5 + c * 37.5::DOUBLE AS x1, 5 + (c + 1) * 37.5::DOUBLE AS x2, 'x_75' AS latex, 0.8::DOUBLE AS confidence FROM nation, (SELECT unnest([0, 1]) AS c)"""
+
+
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout-first parsing of painted pages, some without layout."""
     pages = _painted(spark, sf_dir)
@@ -186,4 +217,4 @@ def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["parsed_pages"] = """SELECT n_nationkey AS doc_id, CASE WHEN n_nationkey % 5 = 0 THEN '160x120' ELSE '## 140 x20' || chr(10) || chr(10) || '140x20' || chr(10) || chr(10) || '140x20' END AS markdown FROM nation"""
 
-QUERIES = {f.__name__: f for f in (page_html, page_markdown, page_json, page_dump, vl_markdown, joined_documents, document_markdown, element_texts, cell_texts, checkboxes, filled_tables, page_structure, ocr_pages, parsed_pages)}
+QUERIES = {f.__name__: f for f in (page_html, page_markdown, page_json, page_dump, vl_markdown, joined_documents, document_markdown, element_texts, cell_texts, checkboxes, filled_tables, page_structure, ocr_pages, ocr_under_layout, table_models, parsed_pages)}

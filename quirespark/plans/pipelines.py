@@ -63,6 +63,121 @@ def ocr(pages: DataFrame, detector: Factory, recogniser: Factory, classifier: Fa
     return joined.select(*PAGE, F.col("idx").alias("region_idx"), *back.select(), "text", "confidence", F.lit(None).cast("string").alias("label"), "positions", "columns", "steps", "error")
 
 
+def refined(regions: DataFrame, elements: DataFrame, pages: DataFrame, recogniser: Factory) -> DataFrame:
+    """Text regions read anew where layout parts them, and where a block has none.
+
+    A region over several blocks is cropped to each (over a pixel both ways) and
+    read again; the parts that read as something replace it. Other regions that
+    such a crop nearly is (IoU above 0.8) lose their text. Blocks other than
+    pictures that no text then meets are read whole. Formulas, tables and seals
+    take no part.
+    """
+    blocks = elements.filter(~F.col("kind").isin("formula", "formula_number", "table", "seal")).select(*PAGE, F.col("idx").alias("b_idx"), "kind", "x1", "y1", "x2", "y2")
+    r = regions.select(*PAGE, F.col("region_idx").alias("idx"), "x1", "y1", "x2", "y2")
+    hits = joins.overlap_join(r, blocks, 3.0)
+    parts = hits.withColumn("part", G.intersection_box(Box.of(), Box.of("r_"), 1.0)).groupBy(*PAGE, "idx").agg(F.sort_array(F.collect_list(F.struct("r_b_idx", "part"))).alias("ps")).filter("size(ps) > 1")
+    cut = parts.select(*PAGE, F.col("idx").alias("of"), F.posexplode(F.filter("ps", lambda p: p["part"].isNotNull())).alias("n", "p")).select(*PAGE, "of", "n", "p.part.*")
+    jobs = cut.withColumn("idx", F.struct("of", "n"))
+    read = models.pooled_recognition(crops(pages, jobs.select(*PAGE, "idx", "x1", "y1", "x2", "y2")), recogniser, [*PAGE, "idx"])
+    good = jobs.join(read.select(*PAGE, "idx", F.col("text").alias("new_text"), F.col("score").alias("new_score")), [*PAGE, "idx"]).filter("new_text != ''")
+    like = good.select(*PAGE, "of", *(F.col(c).alias("c_" + c) for c in ("x1", "y1", "x2", "y2")))
+    twins = r.join(like, PAGE).filter((F.col("idx") != F.col("of")) & (G.iou(Box.of(), Box.of("c_")) > 0.8)).select(*PAGE, F.col("idx").alias("region_idx")).distinct()
+    split = good.select(*PAGE, F.col("of").alias("region_idx")).distinct()
+    stay = regions.join(split, [*PAGE, "region_idx"], "left_anti").join(twins.withColumn("__gone", F.lit(True)), [*PAGE, "region_idx"], "left")
+    columns = [*PAGE, "region_idx", "x1", "y1", "x2", "y2", "text", "confidence", "label"]
+    stay = stay.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text"))).select(*columns)
+    top = regions.groupBy(*PAGE).agg(F.max("region_idx").alias("__top"))
+    kind = regions.schema["region_idx"].dataType
+    fresh = good.join(top, PAGE).select(*PAGE, F.when(F.col("n") == 0, F.col("of")).otherwise(F.col("__top") + 1 + F.col("of") * 1000 + F.col("n")).cast(kind).alias("region_idx"), "x1", "y1", "x2", "y2", F.col("new_text").alias("text"), F.col("new_score").alias("confidence"), F.lit(None).cast("string").alias("label"))
+    now = stay.unionByName(fresh)
+    plain = blocks.filter(~F.col("kind").isin("image", "chart")).withColumnRenamed("b_idx", "idx")
+    empty = joins.associate(plain, now.filter("text != ''"), within=False)
+    whole = models.pooled_recognition(crops(pages, empty), recogniser, [*PAGE, "idx"]).filter("text != ''")
+    extra = empty.join(whole.select(*PAGE, "idx", "text", F.col("score").alias("confidence")), [*PAGE, "idx"]).join(top, PAGE, "left")
+    return now.unionByName(extra.select(*PAGE, (F.coalesce("__top", F.lit(0)) + 1_000_000 + F.col("idx")).cast(kind).alias("region_idx"), "x1", "y1", "x2", "y2", "text", "confidence", F.lit(None).cast("string").alias("label")))
+
+
+def split_by_cells(regions: DataFrame, cells: DataFrame, pages: DataFrame, recogniser: Factory) -> DataFrame:
+    """Regions that cover over half of two or more cells, cut at the cells' edges along x and read again."""
+    from quirespark.operators import paged
+
+    r = regions.withColumnRenamed("region_idx", "idx")
+    pairs = joins._sides(r.select(*PAGE, "idx", "x1", "y1", "x2", "y2"), cells.select(*PAGE, "x1", "y1", "x2", "y2"), PAGE, "r_")  # noqa: SLF001
+    hit = pairs.filter(G.overlap_over_second(Box.of(), Box.of("r_")) > 0.5)
+    packed = hit.groupBy(*PAGE, "idx").agg(F.first(Box.of().struct()).alias("b"), F.collect_list(Box.of("r_").struct()).alias("cs")).filter("size(cs) > 1")
+
+    def run(rows: paged.Rows) -> paged.Rows:
+        rect = lambda s: (s["x1"], s["y1"], s["x2"], s["y2"])
+        return [{"of": x["idx"], "n": n, **dict(zip(("x1", "y1", "x2", "y2"), p))} for x in rows for n, p in enumerate(tables.segments_over_cells(rect(x["b"]), [rect(c) for c in x["cs"]]))]
+
+    parts = paged.per_page(packed, run, f"of {regions.schema['region_idx'].dataType.simpleString()}, n int, x1 double, y1 double, x2 double, y2 double", PAGE).withColumn("idx", F.struct("of", "n"))
+    read = models.pooled_recognition(crops(pages, parts.select(*PAGE, "idx", "x1", "y1", "x2", "y2")), recogniser, [*PAGE, "idx"])
+    good = parts.join(read.select(*PAGE, "idx", "text", F.col("score").alias("confidence")), [*PAGE, "idx"]).filter("text != ''")
+    columns = [*PAGE, "region_idx", "x1", "y1", "x2", "y2", "text", "confidence", "label"]
+    stay = regions.join(good.select(*PAGE, F.col("of").alias("region_idx")).distinct(), [*PAGE, "region_idx"], "left_anti").select(*columns)
+    kind = regions.schema["region_idx"].dataType
+    return stay.unionByName(good.select(*PAGE, (F.col("of") * 1000 + 100_000 + F.col("n")).cast(kind).alias("region_idx"), "x1", "y1", "x2", "y2", "text", "confidence", F.lit(None).cast("string").alias("label")))
+
+
+def recognised_formulas(elements: DataFrame, pages: DataFrame, recogniser: Factory) -> DataFrame:
+    """keys, formula_idx, box, latex, score of formula elements, spaces that mathematics ignores dropped."""
+    asks = elements.filter(F.col("kind") == "formula").select(*PAGE, "idx", "x1", "y1", "x2", "y2")
+    read = models.run_task(crops(pages, asks), "formula_recognition", recogniser, [*PAGE, "idx"]).filter("error is null")
+    return asks.join(read, [*PAGE, "idx"]).select(*PAGE, F.col("idx").alias("formula_idx"), "x1", "y1", "x2", "y2", T.as_udf(T.normalise_latex)("latex").alias("latex"), "score")
+
+
+def detected_seals(elements: DataFrame, pages: DataFrame, detector: Factory) -> DataFrame:
+    """``elements`` and, as further seal elements, the seal texts found inside them, moved to page coordinates."""
+    asks = elements.filter(F.col("kind") == "seal").select(*PAGE, "idx", "x1", "y1", "x2", "y2")
+    found = models.run_task(crops(pages, asks), "seal_detection", detector, [*PAGE, "idx"]).filter("error is null").select(*PAGE, "idx", "item", "score", *(F.col(c).alias("s_" + c) for c in ("x1", "y1", "x2", "y2")))
+    moved = G.translate(Box.of("s_"), F.floor(F.col("x1")), F.floor(F.col("y1")))
+    top = elements.groupBy(*PAGE).agg(F.max("idx").alias("__top"))
+    rows = asks.join(found, [*PAGE, "idx"]).join(top, PAGE).select(*PAGE, (F.col("__top") + 1 + F.col("idx") * 1000 + F.col("item")).cast(elements.schema["idx"].dataType).alias("idx"), F.lit("seal").alias("kind"), F.col("score").alias("confidence"), *moved.select())
+    return elements.unionByName(rows, allowMissingColumns=True)
+
+
+def analysed_tables(elements: DataFrame, pages: DataFrame, structure: Factory, classifier: Factory | None = None, detector: Factory | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tables, cells) of table elements: tokens and cell boxes, type, and detected cells reconciled with the structure's.
+
+    Boxes of the models are moved from their crop to the page.
+    """
+    asks = elements.filter(F.col("kind") == "table").select(*PAGE, "idx", "x1", "y1", "x2", "y2")
+    parts = crops(pages, asks)
+    key = [*PAGE, "idx"]
+    read = models.run_task(parts, "table_structure", structure, key).filter("error is null")
+    out = asks.join(read.select(*key, "tokens", "boxes", F.col("score").alias("structure_confidence")), key)
+    if classifier is not None:
+        said = models.run_task(parts, "table_classification", classifier, key)
+        out = out.join(said.select(*key, E.table_type(F.col("label")).alias("table_type"), F.col("score").alias("classification_confidence")), key, "left")
+    else:
+        out = out.withColumn("table_type", F.lit("unknown")).withColumn("classification_confidence", F.lit(None).cast("double"))
+    placed = out.withColumn("grid", tables.token_grid(F.col("tokens"))).select(*PAGE, "idx", F.floor("x1").alias("dx"), F.floor("y1").alias("dy"), F.posexplode(F.arrays_zip("boxes", "grid")).alias("cell_idx", "c"))
+    box = G.box_from_coords(F.col("c.boxes"))
+    moved = G.translate(Box.at(box), F.col("dx"), F.col("dy"))
+    cells = placed.select(*PAGE, F.col("idx").alias("table_idx"), "cell_idx", *moved.select(), F.col("c.grid.row").alias("row"), F.col("c.grid.col").alias("col"), F.lit(None).cast("string").alias("text"))
+    detected = F.lit(False)
+    if detector is not None:
+        found = models.run_task(parts, "table_cells", detector, key).filter("error is null").join(asks.select(*key, F.floor("x1").alias("dx"), F.floor("y1").alias("dy")), key)
+        there = G.translate(Box.of(), F.col("dx"), F.col("dy"))
+        boxes = found.select(*PAGE, F.col("idx").alias("table_idx"), F.col("item").alias("idx"), *there.select())
+        keys = (*PAGE, "table_idx")
+        fewer = clusters.reduce_to_structure(boxes, cells.withColumnRenamed("cell_idx", "idx"), keys)
+        cells = joins.reconcile_cells(cells.withColumnRenamed("cell_idx", "idx"), fewer, keys).withColumnRenamed("idx", "cell_idx")
+        detected = F.lit(True)
+    done = out.select(*PAGE, F.col("idx").alias("table_idx"), "x1", "y1", "x2", "y2", "tokens", "table_type", E.table_confidence(F.col("classification_confidence"), F.col("structure_confidence")).alias("confidence"), F.lit(detector is None).alias("is_e2e"), detected.alias("has_detected"))
+    return done, cells
+
+
+def overall_ocr(pages: DataFrame, elements: DataFrame, detector: Factory, recogniser: Factory) -> DataFrame:
+    """Text regions of pages under a known layout: detect, part by blocks, order, read, refine."""
+    found = models.run_task(pages, "text_detection", detector, PAGE).filter("error is null").select(*PAGE, F.col("item").alias("idx"), "x1", "y1", "x2", "y2")
+    parts = joins.split_by_blocks(found, elements.filter(E.should_ocr(F.col("kind"))))
+    ordered = reading_order.order_pages(parts, "quad").drop("idx").withColumnRenamed("rank", "idx")
+    read = models.pooled_recognition(crops(pages, ordered), recogniser, [*PAGE, "idx"])
+    regions = ordered.join(read.select(*PAGE, "idx", "text", F.col("score").alias("confidence")), [*PAGE, "idx"], "left").withColumnRenamed("idx", "region_idx").withColumn("label", F.lit(None).cast("string"))
+    return refined(regions, elements, pages, recogniser)
+
+
 def structure_elements(detections: DataFrame, how: str = "enhanced") -> DataFrame:
     """Layout elements of detections (label, score, idx, box): typed, suppressed, fixed, ordered."""
     typed = detections.withColumn("kind", E.type_of(F.col("label")))
