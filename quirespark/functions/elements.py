@@ -21,10 +21,8 @@ SYNONYMS = {
     "caption": "figure_table_chart_title", "vision_footnote": "footnote",
 }
 CAPTIONS = ("figure_title", "table_title", "chart_title", "figure_table_chart_title")
-AUXILIARY = ("number", "footnote", "header", "header_image", "footer", "footer_image", "aside_text")
-OCR_TYPES = (
-    "text", "content", "abstract", "doc_title", "paragraph_title", *CAPTIONS, "header", "header_image", "footer", "footer_image", "footnote", "reference", "reference_content", "algorithm", "aside_text", "list", "number",
-)
+AUXILIARY = tuple("aside_text footer footer_image footnote header header_image number".split())
+OCR_TYPES = (*AUXILIARY, *CAPTIONS, *"abstract algorithm content doc_title list paragraph_title reference reference_content text".split())
 ORDERED = ("text", "content", "abstract", "doc_title", "paragraph_title", "table", "image", "chart", "formula", "seal", "reference", "reference_content", "list", *CAPTIONS)
 BLOCK_TYPES = tuple(
     "text title table image code algorithm header footer page_number page_footnote aside_text equation equation_block ref_text list phonetic table_caption image_caption code_caption table_footnote image_footnote unknown".split()

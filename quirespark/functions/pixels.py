@@ -24,7 +24,7 @@ Rect = tuple[float, float, float, float]
 
 def decode(content: bytes) -> np.ndarray:
     """Bytes to an (h, w, 3) array of bytes, by content and not by name."""
-    m = re.match(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s", content)
+    m = re.match(rb"P([56])\s+(?:#[^\n]*\n\s*)*" + rb"\s+".join([rb"([0-9]+)"] * 3) + rb"\s", content)
     if m:
         w, h = int(m[2]), int(m[3])
         depth = 3 if m[1] == b"6" else 1

@@ -161,7 +161,7 @@ def decode_structure(steps: list[tuple[int, float]], boxes: list[list[float]], v
         word = vocabulary[token] if token < len(vocabulary) else f"UNK_{token}"
         tokens.append(word)
         scores.append(score)
-        if word in ("<td>", "<td", "<td></td>"):
+        if word.startswith("<td") and word.removeprefix("<td") in ("", ">", "></td>"):
             cells.append(boxes[at] if at < len(boxes) else [])
     return tokens, cells, sum(scores) / len(scores) if scores else 0.0
 
@@ -320,8 +320,9 @@ def tokens_of_cells(cells: list[tuple[float, float, float, float]], tolerance: f
 
 FULL, EMPTY, LEFT, UP, CROSS, BREAK = "<fcel>", "<ecel>", "<lcel>", "<ucel>", "<xcel>", "<nl>"
 _TOKEN = re.compile("<[fluxe]cel>|<nl>")
-_ROW, _CELL = re.compile(r"<tr[^>]*>(.*?)</tr>", re.I | re.S), re.compile(r"<t[dh]([^>]*)>(.*?)</t[dh]>", re.I | re.S)
-_ATTR = {a: re.compile(rf'(?:^|\s){a}\s*=\s*"?(\d+)"?', re.I) for a in ("colspan", "rowspan")}
+_ANY = r"([\s\S]*?)"
+_ROW, _CELL = re.compile(f"<tr[^>]*>{_ANY}</tr>", re.I), re.compile(f"<t[hd]([^>]*)>{_ANY}</t[hd]>", re.I)
+_ATTR = {a: re.compile(rf'(?:^|\s){a}\s*=\s*["]?([0-9]+)', re.I) for a in ("colspan", "rowspan")}
 
 
 def has_otsl(text: str) -> bool:
@@ -346,7 +347,7 @@ def html_to_otsl(markup: str) -> str | None:
     text = markup.strip()
     if not re.search(r"<tr[\s>]", text, re.I):
         return None
-    text = text.replace("<tdcolspan=", "<td colspan=").replace("<tdrowspan=", "<td rowspan=")
+    text = re.sub("<td(?=colspan=|rowspan=)", "<td ", text)
     rows = [[(_attr(a, "rowspan"), _attr(a, "colspan"), cell_text(b)) for a, b in _CELL.findall(r)] for r in _ROW.findall(text)]
     width = max((sum(c[1] for c in r) for r in rows), default=0)
     if not width:
@@ -469,7 +470,8 @@ def table_output(text: str) -> str:
 
 # -- layout lines of a parser model
 
-_LAYOUT = re.compile(r"^<\|box_start\|>(\d+)\s+(\d+)\s+(\d+)\s+(\d+)<\|box_end\|><\|ref_start\|>(\w+?)<\|ref_end\|>(.*)$")
+_MARK = {m: re.escape(f"<|{m}|>") for m in ("box_start", "box_end", "ref_start", "ref_end")}
+_LAYOUT = re.compile("{box_start}%s{box_end}{ref_start}(\\w+?){ref_end}(.*)".format(**_MARK) % r"\s+".join([r"(\d+)"] * 4) + r"\Z")
 
 
 def layout_lines(text: str) -> list[tuple[str, float, float, float, float, int | None]]:

@@ -23,11 +23,16 @@ CJK_PY = re.compile("[\u4e00-\u9fff\u3400-\u4dbf\U00020000-\U0002a6df\U0002a700-
 CJK_NARROW_PY = re.compile("[\u4e00-\u9fff\u3400-\u4dbf\U00020000-\U0002a6df\U0002a700-\U0002b81f]")
 KEYWORDS = ("ABSTRACT", "INTRODUCTION", "REFERENCES", "REFERENCE")
 _HAN = "一二三四五六七八九十百千万亿零壹贰叁肆伍陆柒捌玖拾"
-_ROMAN = "(?:I|II|III|IV|V|VI|VII|VIII|IX|X)"
-_ARABIC = r"[1-9][0-9]*(?:\.[1-9][0-9]*)*"
-NUMBERED = re.compile(rf"^\s*({_ARABIC}[.、]?|[(（]{_ARABIC}[)）]|[{_HAN}][、.]?|[(（][{_HAN}]+[)）]|{_ROMAN}(?:\.|\b))(\s+)(.*)\Z")
-VL_NUMBERED = re.compile(rf"^\s*((?:{_ARABIC}[.、]?|[(（](?:[1-9][0-9]*|[{_HAN}]+)[)）]|[{_HAN}]+[、.]?|{_ROMAN}(?:\.|\s)))(\s*)(.*)\Z")
-_JAVA_NUMBERED = rf"^\s*({_ARABIC}[.、]?|[(（]{_ARABIC}[)）]|[{_HAN}][、.]?|[(（][{_HAN}]+[)）]|{_ROMAN}(?:\.|\b))(\s+)(.*)$"
+_ROMAN = f"(?:{'|'.join('I II III IV V VI VII VIII IX X'.split())})"
+_COUNT = "[1-9][0-9]*"
+_ARABIC = rf"{_COUNT}(?:[.]{_COUNT})*"
+_OPEN, _CLOSE = "[(（]", "[)）]"
+_FORMS = (f"{_ARABIC}[.、]?", f"{_OPEN}{_ARABIC}{_CLOSE}", f"[{_HAN}][.、]?", f"{_OPEN}[{_HAN}]+{_CLOSE}", rf"{_ROMAN}(?:[.]|\b)")
+_VL_FORMS = (f"{_ARABIC}[.、]?", f"{_OPEN}(?:{_COUNT}|[{_HAN}]+){_CLOSE}", f"[{_HAN}]+[.、]?", rf"{_ROMAN}[.\s]")
+_HEAD = rf"^\s*({'|'.join(_FORMS)})" + r"(\s+)(.*)"
+NUMBERED = re.compile(_HEAD + r"\Z")
+VL_NUMBERED = re.compile(rf"^\s*({'|'.join(_VL_FORMS)})" + r"(\s*)(.*)" + r"\Z")
+_JAVA_NUMBERED = _HEAD + "$"
 
 
 def as_udf(f: Callable, returns: str = "string"):
@@ -146,7 +151,8 @@ def runs_shortened(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(text, "_{4,}", "___"), r"\.{4,}", "..."))
 
 
-_BRACKETS = r"\\(big|Big|bigg|Bigg|bigl|bigr|Bigl|Bigr|biggr|biggl|Biggl|Biggr)\{(\\?[{}\[\]()|])\}"
+_SIZES = [f"{b}{g}{side}" for b in "bB" for g in ("ig", "igg") for side in ("", "l", "r")]
+_BRACKETS = rf"\\({'|'.join(_SIZES)})" + r"\{(\\?[\[\](){}|])\}"
 
 
 def latex_brackets(text: Column) -> Column:
@@ -201,12 +207,10 @@ def centered(text: Column) -> Column:
 
 
 def centered_table(html: Column) -> Column:
-    for a, b in (
-        ("<table>", "<table border=1 style='margin: auto; word-wrap: break-word;'>"),
-        ("<th>", "<th style='text-align: center; word-wrap: break-word;'>"),
-        ("<td>", "<td style='text-align: center; word-wrap: break-word;'>"),
-    ):
-        html = F.replace(html, F.lit(a), F.lit(b))
+    """Table markup with inline styles: a centred table whose cells are centred and wrap."""
+    wrap = "word-wrap: break-word;"
+    for tag, attrs in (("table", f"border=1 style='margin: auto; {wrap}'"), ("th", f"style='text-align: center; {wrap}'"), ("td", f"style='text-align: center; {wrap}'")):
+        html = F.replace(html, F.lit(f"<{tag}>"), F.lit(f"<{tag} {attrs}>"))
     return html
 
 
@@ -252,6 +256,9 @@ def tighten_math(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
+_TABLE_TAGS = re.compile(rf"</?(?:{'|'.join('table thead tbody tfoot tr td th'.split())})[^>]*>")
+
+
 def format_text(text: str) -> str:
     """Recognised text: delimiters of mathematics unified, table tags dropped, spacing tightened."""
     for a, b in (("-<|sn|>", ""), ("<|sn|>", " "), ("<|unk|>", ""), ("\uffff", "")):
@@ -262,7 +269,7 @@ def format_text(text: str) -> str:
         text = text.replace(r"\[", " $$ ").replace(r"\]", " $$ ")
     text = text.replace(r"$\bullet$", "•")
     if "<table>" in text:
-        text = re.sub(r"</?(?:table|tr|th|td|thead|tbody|tfoot)[^>]*>", "", text)
+        text = _TABLE_TAGS.sub("", text)
     text = re.sub(" ([,.;:!?)])", r"\1", re.sub(" +", " ", tighten_math(text)))
     return re.sub(r"\.{4,}", "...", re.sub("_{4,}", "___", text)).strip()
 
@@ -457,7 +464,9 @@ def split_by_ratio(text: str, ratios: list[float]) -> list[str]:
     return out
 
 
-_WRAPPED = re.compile(r"\\(?:operatorname|mathrm|text|mathbf)\s?\*?\s*\{.*?\}")
+_LETTER = "[A-Za-z]"
+_WRAPPED = re.compile(rf"\\(?:{'|'.join('mathbf mathrm operatorname text'.split())})" + r"\s?[*]?\s*[{].*?[}]")
+_HAN_TEXT = re.compile(r"\\text\s*[{](" + "[^{}]*[\u4e00-\u9fff]+[^{}]*" + ")[}]")
 
 
 def normalise_latex(latex: str) -> str:
@@ -468,7 +477,7 @@ def normalise_latex(latex: str) -> str:
     and the space considered next. Repeats until nothing changes, at most ten
     times.
     """
-    out = re.sub(r"\\text\s*\{([^{}]*[\u4e00-\u9fff]+[^{}]*)\}", r"\1", latex).replace('"', "")
+    out = _HAN_TEXT.sub(r"\1", latex).replace('"', "")
     out = _WRAPPED.sub(lambda m: m[0].replace(" ", ""), out)
     for _ in range(10):
         was, parts, i = out, [], 0
@@ -481,7 +490,7 @@ def normalise_latex(latex: str) -> str:
                 while j < len(out) and out[j].isspace():
                     j += 1
                 i = j if j < len(out) else i
-        out = re.sub(r"([a-zA-Z])\s+([^a-zA-Z])", r"\1\2", "".join(parts))
+        out = re.sub(rf"(?<={_LETTER})\s+(?!{_LETTER}|\s)(?=.)", "", "".join(parts), flags=re.S)
         if out == was:
             break
     return out.strip()

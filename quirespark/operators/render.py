@@ -23,6 +23,11 @@ from quirespark.operators.windows import continuation_flags, segment_flags
 
 PAGE = ("doc_id", "page_idx")
 CENTER, END = '<div style="text-align: center;">', "</div>"
+NO_TABLE = "[Table]"
+
+
+def _rows(*lines: str) -> str:
+    return "".join(f"{x}\n" for x in lines)
 
 
 def _best_table(elements: DataFrame, tables: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -95,7 +100,7 @@ def markdown_parts(elements: DataFrame, tables: DataFrame | None = None, levels:
         F.when(kind == "doc_title", F.concat(F.when(keyword, "## ").otherwise("# "), cleaned))
         .when((kind == "paragraph_title") & text.isNotNull(), F.concat(F.repeat(F.lit("#"), titled["level"]), F.lit(" "), titled["title"]))
         .when(kind == "paragraph_title", "## ")
-        .when(kind == "table", F.coalesce(F.concat(F.lit(CENTER), T.clean_ocr(boxed), F.lit(END)), F.lit("[Table]")))
+        .when(kind == "table", F.coalesce(F.concat(F.lit(CENTER), T.clean_ocr(boxed), F.lit(END)), F.lit(NO_TABLE)))
         .when(kind == "formula_number", F.lit(None))
         .when((kind == "formula") & F.coalesce(raw != "", F.lit(False)), F.when(F.col("inline"), F.concat(F.lit("$"), latex, F.lit("$ "))).otherwise(F.concat(F.lit("$$"), latex, F.lit("$$"))))
         .when(kind == "formula", F.lit(None))
@@ -142,12 +147,12 @@ def page_html(elements: DataFrame, tables: DataFrame | None = None, position: st
     part = (
         F.when(kind == "doc_title", wrap("<h1>", "</h1>\n"))
         .when(kind == "paragraph_title", wrap("<h2>", "</h2>\n"))
-        .when(kind == "table", F.coalesce(F.concat(styled, F.lit("\n")), F.lit("<p>[Table]</p>\n")))
+        .when(kind == "table", F.concat(F.coalesce(styled, F.lit(f"<p>{NO_TABLE}</p>")), F.lit("\n")))
         .when(E.is_formula(kind), wrap('<p class="formula">$$', "$$</p>\n"))
         .when(E.is_visual(kind), F.concat(F.lit('<figure>\n<img alt="Figure" />\n'), caption, F.lit("</figure>\n")))
         .when(kind == "seal", F.concat(F.lit('<figure class="seal">\n<img alt="Seal" />\n'), caption, F.lit("</figure>\n")))
         .when(E.is_caption(kind), caption)
-        .when(kind == "abstract", wrap('<section class="abstract">\n<h3>Abstract</h3>\n<p>', "</p>\n</section>\n"))
+        .when(kind == "abstract", wrap(_rows('<section class="abstract">', "<h3>Abstract</h3>") + "<p>", _rows("</p>", "</section>")))
         .when(kind.isin("reference", "reference_content"), wrap('<section class="references">\n<p>', "</p>\n</section>\n"))
         .when(kind == "list", F.concat(F.lit("<ul>\n"), items, F.lit("</ul>\n")))
         .when(E.is_header(kind), wrap("<header>", "</header>\n"))
@@ -155,7 +160,7 @@ def page_html(elements: DataFrame, tables: DataFrame | None = None, position: st
         .otherwise(F.coalesce(F.concat(F.lit("<p>"), text, F.lit("</p>\n")), F.lit("")))
     )
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), part.alias("h")))), lambda s: s["h"]), "")
-    head, tail = '<!DOCTYPE html>\n<html>\n<head>\n<meta charset="UTF-8">\n</head>\n<body>\n', "</body>\n</html>"
+    head, tail = _rows("<!DOCTYPE html>", "<html>", "<head>", '<meta charset="UTF-8">', "</head>", "<body>"), _rows("</body>") + "</html>"
     return frame.groupBy(*keys).agg(F.concat(F.lit(head), body, F.lit(tail)).alias("html"))
 
 
@@ -198,7 +203,7 @@ def document_markdown(elements: DataFrame, tables: DataFrame | None = None, leve
     return out.withColumn("markdown", T.as_udf(T.postprocess_markdown)("markdown")) if clean else out
 
 
-def vl_markdown(elements: DataFrame, ignore: Sequence[str] = ("number", "footnote", "header", "header_image", "footer", "footer_image", "aside_text"), pretty: bool = True, position: str = "rank", keys: Sequence[str] = PAGE) -> DataFrame:
+def vl_markdown(elements: DataFrame, ignore: Sequence[str] = E.AUXILIARY, pretty: bool = True, position: str = "rank", keys: Sequence[str] = PAGE) -> DataFrame:
     """keys, markdown by raw label, for parser models; ``pretty`` centres titles and styles tables."""
     shown = elements.filter(~F.coalesce("label", F.lit("")).isin(*ignore))
     label, kind, text = F.coalesce("label", F.lit("")), F.col("kind"), F.coalesce("text", F.lit(""))

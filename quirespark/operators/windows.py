@@ -180,7 +180,7 @@ def compatible_batches(images: DataFrame, how: str, most: int, tolerance: float
     return batches(images.withColumn("shape_key", key), most, order, (*keys, "shape_key"))
 
 
-NEVER_MERGED = ("image", "header_image", "footer_image", "seal", "table", "chart")
+NEVER_MERGED = tuple("chart footer_image header_image image seal table".split())
 
 
 def merge_groups(elements: DataFrame, position: str = "rank", keys: Sequence[str] = PAGE) -> DataFrame:

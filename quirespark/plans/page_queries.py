@@ -12,6 +12,8 @@ from quirespark.plans.inputs import BOXES, boxes, table
 
 SQL: dict[str, str] = {}
 PAGE = ("doc_id", "page_idx")
+#: tokens of a row of two cells
+ROW = ("<tr>", *["<td></td>"] * 2, "</tr>")
 
 
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +106,7 @@ def _table_rows(spark: SparkSession, sf_dir: str):
     """(tables of 2 x 2 cells over the page, their cells, text regions)."""
     b = boxes(spark, sf_dir).withColumn("page_idx", F.lit(0))
     ids = b.select("doc_id", "page_idx").distinct()
-    tokens = F.array(*[F.lit(t) for t in ("<table>", "<tr>", "<td></td>", "<td></td>", "</tr>", "<tr>", "<td></td>", "<td></td>", "</tr>", "</table>")])
+    tokens = F.array(*[F.lit(t) for t in ("<table>", *ROW, *ROW, "</table>")])
     t = ids.select("doc_id", "page_idx", F.lit(0).alias("table_idx"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(140.0).alias("x2"), F.lit(120.0).alias("y2"), tokens.alias("tokens"), (F.col("doc_id") % 3 == 0).alias("is_e2e"), F.lit(False).alias("has_detected"))
     cells = ids.withColumn("cell_idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
     row, col = F.expr("cell_idx div 2").cast("int"), (F.col("cell_idx") % 2).cast("int")
@@ -145,7 +147,7 @@ class Painter:
                 out.append([{"x1": float(q[:, 0].min()), "y1": float(q[:, 1].min()), "x2": float(q[:, 0].max()), "y2": float(q[:, 1].max()), "score": s, "poly": [{"x": float(x), "y": float(y)} for x, y in q]} for q, s in found])
             elif self.task == "table_structure":
                 cells = [[0.0, 0.0, w / 2, h], [w / 2, 0.0, float(w), h]]
-                out.append({"tokens": ["<tr>", "<td></td>", "<td></td>", "</tr>"], "boxes": cells, "score": 0.8})
+                out.append({"tokens": list(ROW), "boxes": cells, "score": 0.8})
             elif self.task == "formula_recognition":
                 out.append({"latex": f"x _ {w}", "score": 0.7})
             else:

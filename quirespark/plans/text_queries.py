@@ -192,7 +192,8 @@ def table_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LI = """p AS (SELECT page_id AS doc_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS li FROM pages), t AS (SELECT doc_id, '<table>' || list_reduce(list_prepend('', list_transform(range(0, (len(li) - 1) // 2 + 1), lambda i:
   '<tr><td' || CASE WHEN i % 2 = 1 THEN ' colspan="2"' ELSE '' END || '>' || li[i * 2 + 1] || '</td>' || CASE WHEN i % 2 = 0 THEN '<td>' || coalesce(li[i * 2 + 2], '') || '</td>' ELSE '' END || '</tr>')), lambda a, b: a || b) || '</table>' AS text FROM p WHERE len(li) > 0)"""
-SQL["table_formats"] = f"""WITH {_LI} SELECT doc_id, text AS repaired, replace(replace(replace(text, '<table>', '<table border=1 style=''margin: auto; word-wrap: break-word;''>'), '<th>', '<th style=''text-align: center; word-wrap: break-word;''>'), '<td>', '<td style=''text-align: center; word-wrap: break-word;''>') AS centered, text AS bare FROM t"""
+_WRAP = "word-wrap: break-word;"
+SQL["table_formats"] = f"""WITH {_LI} SELECT doc_id, text AS repaired, replace(replace(text, '<table>', '<table border=1 style=''margin: auto; {_WRAP}''>'), '<td>', '<td style=''text-align: center; {_WRAP}''>') AS centered, text AS bare FROM t"""
 
 
 def table_grids(spark: SparkSession, sf_dir: str) -> DataFrame:

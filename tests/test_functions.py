@@ -151,13 +151,25 @@ def test_top_k(spark):
 TD = "<td></td>"
 
 
+def row(*cells):
+    return ["<tr>", *cells, "</tr>"]
+
+
+def split(attr):
+    """A cell whose opening tag comes in parts."""
+    return ["<td", f" {attr}", ">", "</td>"]
+
+
+WIDE, TALL = 'colspan="2"', 'rowspan="2"'
+
+
 @pytest.mark.parametrize(
     ("tokens", "grid"),
     [
-        (["<tr>", TD, TD, "</tr>", "<tr>", TD, TD, "</tr>"], [(0, 0, 1, 1), (0, 1, 1, 1), (1, 0, 1, 1), (1, 1, 1, 1)]),
-        (["<tr>", '<td colspan="2"></td>', "</tr>", "<tr>", TD, TD, "</tr>"], [(0, 0, 1, 2), (1, 0, 1, 1), (1, 1, 1, 1)]),
-        (["<tr>", '<td rowspan="2"></td>', TD, "</tr>", "<tr>", TD, "</tr>"], [(0, 0, 2, 1), (0, 1, 1, 1), (1, 1, 1, 1)]),
-        (["<tr>", "<td", ' colspan="2"', ">", "</td>", "</tr>", "<tr>", "<td", ' rowspan="2"', ">", "</td>", TD, "</tr>", "<tr>", TD, "</tr>"], [(0, 0, 1, 2), (1, 0, 2, 1), (1, 1, 1, 1), (2, 1, 1, 1)]),
+        (row(TD, TD) * 2, [(r, c, 1, 1) for r in (0, 1) for c in (0, 1)]),
+        (row(f"<td {WIDE}></td>") + row(TD, TD), [(0, 0, 1, 2), (1, 0, 1, 1), (1, 1, 1, 1)]),
+        (row(f"<td {TALL}></td>", TD) + row(TD), [(0, 0, 2, 1), (0, 1, 1, 1), (1, 1, 1, 1)]),
+        (row(*split(WIDE)) + row(*split(TALL), TD) + row(TD), [(0, 0, 1, 2), (1, 0, 2, 1), (1, 1, 1, 1), (2, 1, 1, 1)]),
     ],
 )
 def test_cell_grid(tokens, grid):
@@ -165,24 +177,32 @@ def test_cell_grid(tokens, grid):
 
 
 def test_tokens_of_cells():
-    tokens, order = S.tokens_of_cells([(0, 0, 50, 20), (50, 0, 100, 20), (0, 20, 50, 40), (50, 20, 100, 40)], 5.0)
-    assert [o[1:3] for o in order] == [(0, 0), (0, 1), (1, 0), (1, 1)] and tokens.count(TD) == 4
-    tokens, order = S.tokens_of_cells([(0, 0, 50, 40), (50, 0, 100, 20), (50, 20, 100, 40)], 5.0)
-    assert len(order) == 3 and any('rowspan="2"' in t for t in tokens)
-    assert S.table_html(["<tr>", TD, "<td", ' colspan="2"', ">", "</td>", "</tr>"], ["a", None]) == '<html><body><table><tr><td>a</td><td colspan="2"></td></tr></table></body></html>'
+    left, right, top, low = (0, 48), (48, 96), (0, 18), (18, 36)
+    box = lambda x, y: (x[0], y[0], x[1], y[1])
+    tokens, order = S.tokens_of_cells([box(x, y) for y in (top, low) for x in (left, right)], 4.0)
+    assert [o[1:3] for o in order] == [(r, c) for r in (0, 1) for c in (0, 1)] and tokens.count(TD) == 4
+    tokens, order = S.tokens_of_cells([box(left, (0, 36)), box(right, top), box(right, low)], 4.0)
+    assert len(order) == 3 and any(TALL in t for t in tokens)
+    assert S.table_html(row(TD, *split(WIDE)), ["k", None]) == f"<html><body><table><tr><td>k</td><td {WIDE}></td></tr></table></body></html>"
+
+
+def markup(*rows, tag="td"):
+    """A table of rows of (attributes, text) or text."""
+    cell = lambda c: f"<{tag} {c[0]}>{c[1]}</{tag}>" if isinstance(c, tuple) else f"<{tag}>{c}</{tag}>"
+    return f"<table>{''.join(f'<tr>{chr(32)}' + ''.join(map(cell, r)) + '</tr>' for r in rows)}</table>"
 
 
 @pytest.mark.parametrize(
     ("html", "otsl"),
     [
-        ("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>", "<fcel>a<fcel>b<nl><fcel>c<fcel>d<nl>"),
-        ("<table><tr><td>a</td><td></td></tr></table>", "<fcel>a<ecel><nl>"),
-        ('<table><tr><td colspan="2">A</td></tr><tr><td>x</td><td>y</td></tr></table>', "<fcel>A<lcel><nl><fcel>x<fcel>y<nl>"),
-        ('<table><tr><td rowspan="2">A</td><td>b</td></tr><tr><td>c</td></tr></table>', "<fcel>A<fcel>b<nl><ucel><fcel>c<nl>"),
-        ('<table><tr><td colspan="2" rowspan="2">A</td></tr><tr></tr></table>', "<fcel>A<lcel><nl><ucel><xcel><nl>"),
-        ('<table><tr><tdcolspan="2">A</td></tr><tr><td>x</td><td>y</td></tr></table>', "<fcel>A<lcel><nl><fcel>x<fcel>y<nl>"),
-        ("<table><tr><td>a &amp; b</td><td>x &lt; y</td></tr></table>", "<fcel>a & b<fcel>x < y<nl>"),
-        ("<TABLE><TR><TD>a</TD><TD>b</TD></TR></TABLE>", "<fcel>a<fcel>b<nl>"),
+        (markup(["k", "l"], ["m", "n"]), "<fcel>k<fcel>l<nl><fcel>m<fcel>n<nl>"),
+        (markup(["k", ""]), "<fcel>k<ecel><nl>"),
+        (markup([(WIDE, "K")], ["u", "v"]), "<fcel>K<lcel><nl><fcel>u<fcel>v<nl>"),
+        (markup([(TALL, "K"), "u"], ["v"]), "<fcel>K<fcel>u<nl><ucel><fcel>v<nl>"),
+        (markup([(f"{WIDE} {TALL}", "K"), "u"], ["v"]), "<fcel>K<lcel><fcel>u<nl><ucel><xcel><fcel>v<nl>"),
+        (markup([(WIDE, "K")], ["u", "v"]).replace("<td col", "<tdcol"), "<fcel>K<lcel><nl><fcel>u<fcel>v<nl>"),
+        (markup(["p &amp; q", "r &lt; s"]), "<fcel>p & q<fcel>r < s<nl>"),
+        (markup(["k", "l"], tag="th").upper(), "<fcel>K<fcel>L<nl>"),
         ("plain", None), ("", None),
     ],
 )
@@ -193,12 +213,12 @@ def test_otsl(html, otsl):
 
 
 def test_otsl_fallbacks():
-    assert S.otsl_to_html("a\tb\nc\td") == "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>"
-    assert S.otsl_squared("<fcel>a<fcel>b<nl><fcel>c") == "<fcel>a<fcel>b<nl><fcel>c<ecel><nl>"
+    assert S.otsl_to_html("k\tl\nm\tn") == markup(["k", "l"], ["m", "n"]).replace("<tr> ", "<tr>")
+    assert S.otsl_squared("<fcel>k<fcel>l<nl><fcel>m") == "<fcel>k<fcel>l<nl><fcel>m<ecel><nl>"
     assert S.otsl_segments("x<fcel>a<ecel>") == ["x<fcel>a", "<ecel>"]
     assert S.table_output(" plain ") == "plain" and "<td>1</td>" in S.table_output("<fcel>1<nl>")
-    assert S.table_vocabulary(["<tr>", "<td>", ""]) == ["sos", "<tr>", "<td></td>", "eos"]
-    assert S.decode_structure([(0, 1.0), (1, 0.5), (2, 0.7), (3, 0.9), (1, 0.2)], [[], [], [1.0]], ["sos", "<tr>", "<td></td>", "eos"]) == (["<tr>", "<td></td>"], [[1.0]], pytest.approx(0.6))
+    assert S.table_vocabulary(["<tr>", "<td>", ""]) == ["sos", "<tr>", TD, "eos"]
+    assert S.decode_structure([(0, 1.0), (1, 0.5), (2, 0.7), (3, 0.9), (1, 0.2)], [[], [], [1.0]], ["sos", "<tr>", TD, "eos"]) == (["<tr>", TD], [[1.0]], pytest.approx(0.6))
 
 
 def test_order_ranks(spark):
