@@ -19,6 +19,24 @@ def test_images_and_crops(spark, tmp_path):
     assert (c["idx"], c["width"], c["height"]) == (7, 2, 3)
 
 
+def test_data_source(spark, tmp_path):
+    from quirespark.sources.datasource import register
+
+    register(spark)
+    for n in range(3):
+        (tmp_path / f"{n}.ppm").write_bytes(pixels.encode(np.zeros((2 + n, 3, 3), np.uint8)))
+    got = spark.read.format("page_images").option("path", f"{tmp_path}/*.ppm,{tmp_path}/none.ppm").option("files_per_partition", "2").load()
+    assert sorted((r["height"] or 0, r["error"] is None) for r in got.collect()) == [(0, False), (2, True), (3, True), (4, True)]
+
+
+def test_presets(spark):
+    from quirespark.sources.presets import class_labels, class_settings
+
+    n = {r["family"]: r["count"] for r in class_labels(spark).groupBy("family").count().collect()}
+    assert n["page_25"] == 25 and n["page_23_small"] == 23 and n["page_20"] == 20 and n["page_17_large"] == 17 and len(n) == 15
+    assert class_settings(spark).filter("setting = 'page_25' and label = 'seal'").first()["threshold"] == 0.45
+
+
 def test_dictionary_and_registry(spark, tmp_path):
     (tmp_path / "d.txt").write_text("a\n b\n\nc\n")
     assert [r["entry"] for r in images.read_dictionary(spark, str(tmp_path / "d.txt")).orderBy("pos").collect()] == ["a", " b", "", "c"]
