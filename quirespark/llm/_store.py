@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: paths written, by application; ``release`` deletes them
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,19 +39,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     path = fresh_path(spark, name)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quire_path = path  # noqa: SLF001 - for discard()
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table that this session wrote; results that were not yet written elsewhere become unreadable."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table of ``materialise`` that no later plan reads."""
     path = getattr(df, "_quire_path", None)
     if path:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
 
 
 def unused(df: DataFrame, *wanted: str) -> list[str]:

@@ -1,8 +1,8 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
 Texts are normalised (each run of the six ASCII white-space characters to one
-space) and keyed by SHA-256. The index holds one entry a row (key, id, length,
-a second digest), written to the shared folder. Its directory maps key prefixes
+space) and keyed by SHA-256. The index holds one entry a row (key, a second
+digest, id), written to the shared folder. Its directory maps key prefixes
 to buckets and doubles until no bucket of more than one prefix holds over
 ``BUCKET_KEYS`` distinct keys, so overfull buckets split and others stay whole;
 it has a row a bucket, never one a key. Owner tasks take buckets, that is key
