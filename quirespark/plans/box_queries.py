@@ -389,12 +389,17 @@ SQL["polygon_order"] = f"WITH {BOXES} SELECT doc_id, idx, CAST(row_number() OVER
 # -- folds: no SQL, held against brute force in tests
 
 
+def _slim(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Boxes with no more columns than a fold reads, as nothing is pruned through Python."""
+    return boxes(spark, sf_dir).select("doc_id", "idx", "x1", "y1", "x2", "y2", *more)
+
+
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppress.apply_nms(boxes(spark, sf_dir), 0.3, 100, DOC).select("doc_id", "idx", "rank")
+    return suppress.apply_nms(_slim(spark, sf_dir, "cls", "score"), 0.3, 100, DOC).select("doc_id", "idx", "rank")
 
 
 def layout_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppress.apply_layout_nms(boxes(spark, sf_dir), DOC).select("doc_id", "idx", "rank")
+    return suppress.apply_layout_nms(_slim(spark, sf_dir, "cls", "score"), DOC).select("doc_id", "idx", "rank")
 
 
 def nms_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,11 +407,11 @@ def nms_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppress.remove_overlaps(boxes(spark, sf_dir), 0.5, DOC, "kind").select("doc_id", "idx")
+    return suppress.remove_overlaps(_slim(spark, sf_dir, "kind"), 0.5, DOC, "kind").select("doc_id", "idx")
 
 
 def overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppress.filter_overlaps(boxes(spark, sf_dir), 0.7, DOC, "kind").select("doc_id", "idx")
+    return suppress.filter_overlaps(_slim(spark, sf_dir, "kind"), 0.7, DOC, "kind").select("doc_id", "idx")
 
 
 def merged_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,7 +422,7 @@ def _ordered(how: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from quirespark.operators.reading_order import order_pages
 
-        b = boxes(spark, sf_dir)
+        b = _slim(spark, sf_dir, "kind", "num_lines")
         if how == "regions":
             b = b.withColumn("kind", F.when(F.col("idx") % 4 == 0, "region").otherwise(F.col("kind")))
         return order_pages(b, how, DOC).select("doc_id", "idx", "rank")
@@ -439,7 +444,7 @@ def reduced_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirespark.operators.clusters import reduce_to_structure
 
     e, r = sides(spark, sf_dir)
-    return reduce_to_structure(boxes(spark, sf_dir), r, DOC)
+    return reduce_to_structure(_slim(spark, sf_dir), r, DOC)
 
 
 QUERIES = {
