@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quirespark.llm._arrow import slices
 from quirespark.llm._components import components
-from quirespark.llm._store import materialise
+from quirespark.llm._store import materialise, unused
 
 SPACE = b" \t\n\x0b\x0c\r"
 MOST_BITS = 4
@@ -36,6 +36,8 @@ SHINGLE = 4
 LIST_LIMIT = 128
 #: shared keys (a long each) are broadcast up to this many, else joined by a shuffle
 BROADCAST_KEYS = 2_000_000
+#: rows (id and digest) of near_dedup's decisions that are broadcast, else joined by a shuffle
+BROADCAST_ROWS = 500_000
 _BYTES = 8
 
 
@@ -163,10 +165,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     key = F.struct(F.col("doc_id").alias("i"), F.col("text_key").alias("k"))
     groups = near_groups(spark, docs, id_col, text_col)
     # groups without any id are told apart by their fingerprint
-    per = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    best = per.groupBy("component_id", "lone").agg(F.min_by(F.struct("doc_id", "text_key", "n"), key).alias("best")).select("best.*")
-    best = materialise(spark, best.select(F.col("doc_id").alias("__i"), F.col("text_key").alias("__k"), F.col("n").alias("__n")), "kept")
-    kept = docs.join(best, docs[id_col].eqNullSafe(best["__i"]) & (F.xxhash64(docs[text_col]) == best["__k"]), "inner")
-    once = kept.filter("__n = 1").select(*[docs[c] for c in docs.columns])
-    again = kept.filter("__n > 1").dropDuplicates(["__i", "__k"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    per = materialise(spark, groups.groupBy("component_id", alone.alias("lone"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "members")
+    best = per.groupBy("component_id", "lone").agg(F.min_by(key, key).alias("best")).select(F.col("component_id").alias("c"), F.col("lone").alias("l"), "best")
+    same = per["component_id"].eqNullSafe(best["c"]) & per["lone"].eqNullSafe(best["l"])
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.i")) & (F.col("text_key") == F.col("best.k"))
+    i, k, n = unused(docs, "near_id", "near_key", "near_rows")
+    marked = per.join(best, same).filter(~is_best | (F.col("n") > 1))
+    marked = materialise(spark, marked.select(F.col("doc_id").alias(i), F.col("text_key").alias(k), F.when(is_best, F.col("n")).otherwise(0).alias(n)), "marked")
+    # what goes, and what stays but repeats, is a small part: whole texts move only if it outgrows a broadcast
+    few = marked.count() <= BROADCAST_ROWS
+    on = lambda m: docs[id_col].eqNullSafe(m[i]) & (F.xxhash64(docs[text_col]) == m[k])
+    once = docs.join(F.broadcast(marked) if few else marked, on(marked), "left_anti")
+    repeats = marked.filter(F.col(n) > 0)
+    again = docs.join(F.broadcast(repeats) if few else repeats, on(repeats)).dropDuplicates([i, k]).select(*[f"`{c}`" for c in docs.columns])
     return once.unionByName(again)
