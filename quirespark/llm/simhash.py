@@ -121,7 +121,8 @@ def links(spark: SparkSession, values: DataFrame, list_limit: int = LIST_LIMIT)
     from pyspark.sql import Window
 
     # every value becomes 70 rows: spread them first, as a few small partitions are merged otherwise
-    spread = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # (by no key: a hash of fp, as they already lie, would be taken as done)
+    spread = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     posted = spread.select("fp", F.explode(F.array(*[_key(F.col("fp"), n, p) for n, p in enumerate(POSITIONS)])).alias("key"))
     shared = materialise(spark, posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "postings")
     few = shared.count() <= BROADCAST_KEYS
