@@ -23,6 +23,14 @@ def kinds_of(frame: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {types[n]}" for n in names)
 
 
+def arrow_schema(ddl: str):
+    """The Arrow schema of schema text; needs a session, so it is made on the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def per_page(frame: DataFrame, run: Callable[[Rows], Rows], schema: str, keys: Sequence[str], order: str = "idx") -> DataFrame:
     """keys and the fields of ``schema`` of what ``run`` makes of each page's rows, given by ``order``.
 
@@ -32,10 +40,7 @@ def per_page(frame: DataFrame, run: Callable[[Rows], Rows], schema: str, keys: S
     packed = frame.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias("__rows"))
     full = f"{kinds_of(frame, keys)}, {schema}"
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    want = to_arrow_schema(StructType.fromDDL(full))
+    want = arrow_schema(full)
 
     def go(batches):
         import pyarrow as pa

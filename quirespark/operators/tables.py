@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quirespark.functions.sequences import align_rows, cell_grid, ends_cell, row_starts, table_html
 from quirespark.functions.text import split_by_ratio
 from quirespark.operators.lines import Span, joined_text, overlaps
+from quirespark.operators.paged import arrow_schema
 
 Rect = tuple[float, float, float, float]
 COST_BAND = 1e-4
@@ -378,24 +379,27 @@ def stitch_tables(tables: DataFrame, cells: DataFrame, regions: DataFrame, formu
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", table_idx {kinds['table_idx']}, html string, cells string, used_regions array<int>"
     rect = lambda s: (float(s["x1"]), float(s["y1"]), float(s["x2"]), float(s["y2"]))
 
+    want = arrow_schema(schema)
+
     def run(batches):
+        import pyarrow as pa
+
         for b in batches:
             out = []
-            for row in b.to_dict("records"):
-                rs = list(row["rs"]) if row["rs"] is not None else []
+            for row in b.to_pylist():
+                rs = row["rs"] or []
                 spans = [Span(rect(s), s["text"], s["confidence"], s["label"]) for s in rs]
-                fs = [(rect(s), s["latex"]) for s in (row["fs"] if row["fs"] is not None else [])]
+                fs = [(rect(s), s["latex"]) for s in row["fs"] or []]
                 used: set[int] = set()
                 for s in row["ts"]:
-                    mine = [x for x in (row["cs"] if row["cs"] is not None else []) if x["table_idx"] == s["table_idx"]]
-                    at = lambda v: None if v is None or pd.isna(v) else int(v)
-                    table = Table(rect(s), [Cell(rect(x), at(x["row"]), at(x["col"]), x["text"]) for x in mine], list(s["tokens"]) if s["tokens"] is not None else [], bool(s["is_e2e"]), bool(s["has_detected"]))
+                    mine = [x for x in row["cs"] or [] if x["table_idx"] == s["table_idx"]]
+                    table = Table(rect(s), [Cell(rect(x), x["row"], x["col"], x["text"]) for x in mine], s["tokens"] or [], bool(s["is_e2e"]), bool(s["has_detected"]))
                     before = set(used)
                     fill_table(table, spans, fs, used)
                     out.append({**{k: row[k] for k in keys}, "table_idx": s["table_idx"], "html": table.html, "cells": json.dumps([c.text for c in table.cells], ensure_ascii=False), "used_regions": sorted(int(rs[k]["region_idx"]) for k in used - before)})
-            yield pd.DataFrame(out, columns=[*keys, "table_idx", "html", "cells", "used_regions"])
+            yield pa.RecordBatch.from_pylist(out, schema=want)
 
-    return page.mapInPandas(run, schema)
+    return page.mapInArrow(run, schema)
 
 
 def token_grid(tokens: Column) -> Column:
