@@ -6,7 +6,8 @@ hashes only:
 
 1. Keys' 64-bit hashes (once a document) go to owner tasks by hash range. An
    owner keeps two Bloom filters, for hashes seen once and seen twice; a hash
-   found in the first enters the second and is emitted, once, as suspect.
+   found in the first enters the second and is emitted, once, as suspect. What
+   the second filter holds is compared with the hashes emitted before it is left out.
 2. Suspects make a compact filter in the shared folder. Only lines found in it
    shuffle, as whole keys, for the exact count of documents and the choice of
    the largest doc_id.
@@ -103,6 +104,7 @@ def _suspects(hashes: DataFrame, owners: int) -> DataFrame:
         import pyarrow as pa
 
         once, twice = Bloom(OWNER_BITS), Bloom(OWNER_BITS)
+        sent: set[int] = set()
         for b in batches:
             h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
             sure = b.column("twice").to_numpy(zero_copy_only=False)
@@ -111,8 +113,12 @@ def _suspects(hashes: DataFrame, owners: int) -> DataFrame:
             again |= np.isin(u, h[sure])
             once.add(u)
             new = u[again]
-            new = new[~twice.has(new)]
+            # of what the filter holds only hashes that were emitted are left out
+            old = twice.has(new)
+            old[old] = [x in sent for x in new[old].tolist()]
+            new = new[~old]
             twice.add(new)
+            sent.update(new.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64))], names=["h"])
 
     return hashes.repartition(owners, "h").mapInArrow(run, "h long")

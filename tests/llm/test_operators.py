@@ -307,6 +307,19 @@ def test_bloom_has_no_false_negative():
     assert f.has(h[:3000]).all() and f.has(h[3000:]).mean() < 0.05
 
 
+def test_full_filters_lose_no_suspect(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "OWNER_BITS", 64)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 50)
+    try:
+        hashes = spark.range(3000).select(F.xxhash64(F.col("id") % 1000).alias("h"), F.lit(False).alias("twice"))
+        got = [r["h"] for r in line_dedup._suspects(hashes, 2).collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(got) == sorted(r["h"] for r in hashes.select("h").distinct().collect())
+
+
 # -- 8
 
 
