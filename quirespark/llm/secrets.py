@@ -3,13 +3,15 @@
 Three base patterns find plain credentials. On top, source and configuration
 syntax is lexed into name-literal pairs: ``name = "literal"``, ``name: literal``
 (YAML, JSON, headers), ``name => literal``, ``export NAME=literal`` and
-``"name": "literal"``. Constants are propagated inside a text: ``a = "x"`` then
+``"name": "literal"``. Literals have any length; triple-quoted and back-ticked
+ones, PEM keys and YAML blocks go over line breaks. Constants are propagated inside a text: ``a = "x"`` then
 ``password = a + "y"`` makes ``xy`` the value of ``password``, and a reference
 to a constant makes the constant's own literal a secret. A pair is reported if
 its target name is sensitive and its value scores at least ``LEAST_SCORE``.
 
 Reported spans are code points of the literal, end exclusive. Spans of the
-method are kept only where no base span overlaps them; base spans always stay.
+method are left out only where a base span holds them whole; base spans always
+stay.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +33,20 @@ KINDS = ("assign", "access", "hex", "lexed")
 LEAST_SCORE = 4.0
 
 _NAME = re.compile(
-    r"(?<![A-Za-z0-9_.$-])[\"']?(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]{0,127})[\"']?[\x20\t]*(?P<op>:=|=>|=(?![=~>])|:(?![:/=]))[\x20\t]*(?=[\"'A-Za-z0-9+/_$`(])",
+    r"(?<![A-Za-z0-9_.$-])[\"']?(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*+)[\"']?[\x20\t]*(?P<op>:=|=>|=(?![=~>])|:(?![:/=]))[\x20\t]*(?=[\"'A-Za-z0-9+/_$`(|>]|-----BEGIN )",
 )
-_OPERAND = re.compile(r"(?P<q>[\"'`])(?P<lit>(?:(?!(?P=q))[^\\\n]|\\.){0,4096})(?P=q)|(?P<ref>\$?\{?[A-Za-z_$][A-Za-z0-9_.$]{0,127}\}?)|(?P<bare>[A-Za-z0-9+/_.=~!@#%^&*-]{1,4096})")
+_PEM = r"-----BEGIN (?P<kind>[A-Z0-9 ]+)-----[^-]*+(?:-(?!----)[^-]*+)*+-----END (?P=kind)-----"
+_OPERAND = re.compile(
+    r"(?P<t>\"\"\"|''')(?P<long>(?:[^\\]|\\(?s:.))*?)(?P=t)|(?P<q>[\"'])(?P<lit>(?:(?!(?P=q))[^\\\n]|\\(?s:.))*+)(?P=q)|`(?P<tick>(?:[^\\`]|\\(?s:.))*+)`"
+    rf"|[\"']?\s*(?P<pem>{_PEM})|(?P<ref>\$?\{{?[A-Za-z_$][A-Za-z0-9_.$]*+\}}?)|(?P<bare>[A-Za-z0-9+/_.=~!@#%^&*-])",
+)
+_LITERALS = ("lit", "long", "tick", "pem")
 _JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|&)[\x20\t]*|[\x20\t]+(?=[\"'])")
-_BARE = re.compile(r"[^\s,;\"'`<>(){}\[\]]{1,4096}")
+_BARE = re.compile(r"[^\s,;\"'`<>(){}\[\]]+")
+_WORD = re.compile(r"[A-Za-z0-9_]")
+#: the head of a YAML block, and what may stand before its key
+_BLOCK, _BEFORE = re.compile(r"[|>][0-9+-]{0,2}[\x20\t]*(?:#[^\n]*)?\r?\n"), re.compile(r"\x20*(?:[-?]\x20+)*")
+_ARMOUR = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----")
 _SENSITIVE = (
     (re.compile(r"pass(?:word|wd|phrase|code)|(?<![a-z])pwd(?![a-z])"), 3.0),
     (re.compile(r"private_?key|secret|credential|client_?secret|signing_?key|encryption_?key"), 3.0),
@@ -46,57 +58,93 @@ _PLACEHOLDER = re.compile(r"^(?:x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(
 def entropy(value: str) -> float:
     """Shannon bits per character."""
     n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in map(value.count, set(value))) if n else 0.0
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+
+
+def sensitive(name: str) -> float:
+    """Points of a target name."""
+    plain = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).replace("-", "_").replace(".", "_").lower()
+    return max((p for pattern, p in _SENSITIVE if pattern.search(plain)), default=0.0)
 
 
 def score(name: str, value: str, quoted: bool) -> float:
     """Points of a pair: the target name's sensitivity, then the value's length, mixture and entropy."""
-    plain = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).replace("-", "_").replace(".", "_").lower()
-    points = max((p for pattern, p in _SENSITIVE if pattern.search(plain)), default=0.0)
+    points = sensitive(name)
     if not points or len(value) < 8 or _PLACEHOLDER.match(value):
         return 0.0
     kinds = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     points += 0.5 * (kinds - 1) + (0.5 if len(value) >= 16 else 0.0) + (0.5 if quoted else 0.0)
     points += 0.5 if entropy(value) >= 3.0 else -0.5
-    if " " in value or value.isalpha() and not quoted:
+    if _spaced(value) or value.isalpha() and not quoted:
         points -= 2.0
     return points
 
 
+def _spaced(value: str) -> bool:
+    """Whether blanks stand in the value, a key's armour and the indents of lines aside."""
+    if "-----" in value:
+        value = _ARMOUR.sub("", value)
+    return " " in value and ("\n" not in value or any(" " in x.strip() for x in value.split("\n")))
+
+
+def _block(text: str, key: int, at: int) -> tuple[int, int] | None:
+    """Span of the YAML block whose key starts at ``key`` and whose head is at ``at``."""
+    line = text.rfind("\n", 0, key) + 1
+    head = _BLOCK.match(text, at)
+    if not head or not _BEFORE.fullmatch(text, line, key):
+        return None
+    start = end = None
+    pos = head.end()
+    while pos < len(text):
+        stop = text.find("\n", pos)
+        stop = len(text) if stop < 0 else stop
+        row = text[pos:stop]
+        if body := row.strip():
+            first = pos + len(row) - len(row.lstrip())
+            if first - pos <= key - line:
+                break
+            start = first if start is None else start
+            end = first + len(body)
+        pos = stop + 1
+    return None if start is None else (start, end)
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach sensitive names, constants propagated in order of appearance."""
-    constants: dict[str, tuple[str, list[tuple[int, int]], bool]] = {}
+    constants: dict[str, tuple[list[tuple[int, int]], bool]] = {}
     found: list[tuple[int, int]] = []
-    at = 0
+    at = run = word = 0
     while m := _NAME.search(text, at):
-        pos, value, spans, quoted = m.end(), "", [], False
+        pos, spans, quoted = m.end(), [], False
         at = m.end()
-        while o := _OPERAND.match(text, pos):
-            if o["lit"] is not None:
-                value, quoted = value + o["lit"], True
-                spans.append(o.span("lit"))
-                pos = o.end()
-            elif o["ref"] is not None and (known := constants.get(o["ref"].strip("${}"))) and not re.compile(r"[A-Za-z0-9_]").match(text, o.end()):
-                value, quoted = value + known[0], quoted or known[2]
-                spans.extend(known[1])
-                pos = o.end()
-            elif not spans and (b := _BARE.match(text, pos)):
-                # a name that no constant has is its own text
-                value = b[0].rstrip(".,;:!?")
-                spans.append((pos, pos + len(value)))
-                pos = b.end()
+        if m["op"] == ":" and text[pos] in "|>" and (block := _block(text, m.start(), pos)):
+            spans, quoted = [block], True
+        while not (spans and pos == at) and (o := _OPERAND.match(text, pos)):
+            if part := next((p for p in _LITERALS if o[p] is not None), None):
+                spans.append(o.span(part))
+                quoted, pos = True, o.end()
+            elif o["ref"] is not None and (known := constants.get(o["ref"].strip("${}"))) and not _WORD.match(text, o.end()):
+                spans.extend(known[0])
+                quoted, pos = quoted or known[1], o.end()
+            elif not spans and (pos < run or (b := _BARE.match(text, pos))):
+                # a name that no constant has is its own text; a run's end is looked for once
+                if pos >= run:
+                    run = b.end()
+                    word = pos + len(b[0].rstrip(".,;:!?"))
+                spans.append((pos, max(pos, word)))
+                pos = run
                 break
             else:
                 break
             if not (j := _JOIN.match(text, pos)):
                 break
             pos = j.end()
-        if not value:
+        if not any(b > a for a, b in spans):
             continue
-        # an unquoted value may itself hold a pair (a URL's query): go on inside it
-        at = pos if quoted else at
-        constants[m["name"]] = (value, spans, quoted)
-        if score(m["name"], value, quoted) >= LEAST_SCORE:
+        # an unquoted value may itself hold a pair (a URL's query), as may one over lines: go on inside it
+        at = pos if quoted and "\n" not in text[at:pos] else at
+        constants[m["name"]] = (spans, quoted)
+        if sensitive(m["name"]) and score(m["name"], "".join(text[a:b] for a, b in spans), quoted) >= LEAST_SCORE:
             found.extend(spans)
     return sorted(set(s for s in found if s[1] > s[0]))
 
@@ -122,7 +170,7 @@ def scan(text: str | None) -> tuple[int, int, int, str, str]:
     extra: list[tuple[int, int, str]] = []
     if "=" in text or ":" in text:
         taken = [(a, b) for a, b, _ in base]
-        extra = [(a, b, "lexed") for a, b in lexed_spans(text) if not any(a < y and x < b for x, y in taken)]
+        extra = [(a, b, "lexed") for a, b in lexed_spans(text) if not any(x <= a and b <= y for x, y in taken)]
     spans = sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2]))) if extra else base
     kinds = [k for _, _, k in base]
     return kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(_written(base).encode()).hexdigest(), _written(spans)
