@@ -14,9 +14,9 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, unchanged."""
+    """Documents that the line-first rules keep, without their failing lines; n_chars follows the text."""
     bound_batches(spark)
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, clean=True, chars_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,8 +171,11 @@ def clean_lines(text: str, keep_repeats: bool = False) -> str:
     return "\n".join(out)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", clean: bool = False) -> DataFrame:
-    """The rows that ``judge`` keeps, with all columns; with ``clean`` their failing lines are removed."""
+def keep_good(docs: DataFrame, text_col: str = "text", clean: bool = False, chars_col: str | None = None) -> DataFrame:
+    """The rows that ``judge`` keeps, with all columns; with ``clean`` their failing lines are removed.
+
+    ``chars_col`` follows the texts that lose lines.
+    """
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches):
@@ -184,7 +187,12 @@ def keep_good(docs: DataFrame, text_col: str = "text", clean: bool = False) -> D
                 continue
             columns = [c.take(pa.array(pick, pa.int64())) for c in b.columns]
             if clean:
-                columns[at] = pa.array([clean_lines(t.as_py()) for t in columns[at]], columns[at].type)
+                raw = columns[at].to_pylist()
+                texts = [clean_lines(t) for t in raw]
+                columns[at] = pa.array(texts, columns[at].type)
+                if chars_col is not None:
+                    k = names.index(chars_col)
+                    columns[k] = pa.array([n if a == b else len(b) for n, a, b in zip(columns[k].to_pylist(), raw, texts)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -30,6 +30,15 @@ def test_stages_against_brute_force(spark, docs):
     assert key(tuple(r["ids"]) for r in last.collect()) == key(tuple(own.encode(r["text"])) for r in fourth.collect())
 
 
+def test_first_stage_drops_failing_lines(spark):
+    prose = "\n".join(f"Sentence {i} tells of thing{i} and of thing{i * i + 1}, each in turn." for i in range(9))
+    junk = "We use cookies here.\nHome | News | Sport | Weather | Shop | Earth\nEVERY WORD OF THIS LINE IS WRITTEN IN CAPITALS\nSentence 0 tells of thing0 and of thing1, each in turn."
+    rows = [(1, f"{prose}\n{junk}\nEnd."), (2, prose)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert got == {1: (f"{prose}\nEnd.", len(prose) + 5), 2: (prose, len(prose))}
+
+
 def test_stages_take_an_empty_table(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
