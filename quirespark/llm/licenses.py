@@ -89,12 +89,40 @@ KNOWN = (
 
 #: a line that opens with a copyright mark or claims all rights, whatever follows on it
 COPYRIGHT = r"^[ \t/*#;>-]*(?:(?:portions )?copyright\b(?: *(?:\(c\)|©|:|[0-9])).*|©.*|\(c\) *[0-9].*|all rights reserved\.?[ \t]*)$"
+#: besides, a line that names a holder: copyright and no word that follows it inside known texts
+HOLDER = (
+    r"^[ \t/*#;>-]*(?:portions )?copyright\b[ \t]+(?!(?:notices?|holders?|and|laws?|disclaimer|owners?|ownership|interests?|on|permission|the (?:software|library|program|work)|licen[cs]e|treaty|are|is|if|in|to|for|doctrines?|statement|or|of|rights?|protection)\b)\S.*$"
+)
+
+#: digests of whole texts that are too long to stand here; each with what follows its terms and without
+WHOLE = (
+    ("Apache-2.0", "c5dac4348a7d36acbad686da4b896cfe6401bb1333cb065ec000031cac7a5501"),
+    ("Apache-2.0", "138b93e853ec1c18e14c8cfe2b9fe385e5683f67bf0b00ab0ac57de99e08c764"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "f75ba27ad72fc3a55fbb9ebdea4448b578f3f7ef3f4269fb069eaf5e19c35e8e"),
+    ("LGPL-2.0", "8f106f3528fe0d3acfdfed658d64d89fe6148d1265c0acb38ac115033bd30ada"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "b4fb601cd1d708fd4d48958cfaecb8bb919d60af95b4704afb85d1a886f8b303"),
+    ("MPL-2.0", "cf4fdc07202ec6d5439f2c5b5c7fefab577065eb74b364e6c6166bad4880fc48"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "d7b4fa98c0201b101d2035c8ce5216ecd9d6468e8c8027a7ca54c3340f919d08"),
+    ("GFDL-1.3", "438ae846690e15ae7957a7e816e4b191e39c6de2a061ce3d3573ba5a22d5e15a"),
+    ("CC-BY-SA-4.0", "03d8a3b9c6db6790c3520a25812373d89c7f2a005ef01b18a0abcd015657a456"),
+)
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text: what known texts and candidates are digested in."""
     low = F.translate(text, _UPPER, _LOWER)
     low = F.regexp_replace(low, "(?md)" + COPYRIGHT, "")
+    low = F.regexp_replace(low, "(?md)" + HOLDER, "")
     for found, spelled in SPELLINGS:
         if any(c in found for c in "\\?(["):
             low = F.regexp_replace(low, found, spelled)
@@ -106,7 +134,8 @@ def canonical(text: Column) -> Column:
 def known_digests(spark: SparkSession) -> DataFrame:
     """(digest, license) of every known text; one row a digest."""
     rows = spark.createDataFrame(list(KNOWN), "license string, body string")
-    return rows.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    short = rows.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "license")
+    return short.unionByName(spark.createDataFrame(list(WHOLE), "license string, digest string")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
@@ -115,15 +144,17 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     license is set where the whole text is a known one; notices lists, comma-
     joined in order, the licenses of lines that are known notices, n_notices
     their number. Null and empty texts match nothing. A text without any of the
-    stems that every known text holds is not digested. Repeated rows give
+    stems that every built-in text holds is not digested. Repeated rows give
     repeated results; extra columns are not read. ``known`` (digest, license)
     replaces the built-in table and must stay small, as it is broadcast.
     """
     table = known_digests(spark) if known is None else known
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    asks = F.col("text").rlike(f"(?i){STEMS}")
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= 2000) & x.rlike(f"(?i){STEMS}"))
+    # a caller's own texts may hold none of the stems
+    stem = f"(?i){STEMS}" if known is None else r"\S"
+    asks = F.col("text").rlike(stem)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(stem))
     rows = rows.select("doc_id", F.when(asks, F.sha2(canonical(F.col("text")), 256)).alias("digest"), F.when(asks, F.transform(lines, lambda x: F.sha2(canonical(x), 256))).alias("lines"))
     whole = rows.join(F.broadcast(table), "digest", "left")
     # the table as one map value, for look-ups inside a row's list

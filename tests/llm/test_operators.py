@@ -121,6 +121,20 @@ def test_license_lines_and_odd_rows(spark, docs, empty):
     assert licenses.scan(spark, empty).count() == 0
 
 
+def test_whole_licenses_holders_and_own_tables(spark):
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT")
+    read = lambda n: open(f"/usr/share/common-licenses/{n}", encoding="utf-8").read()
+    gpl = read("GPL-2")
+    forms = [("MIT", "Copyright Node.js contributors. All rights reserved.\n\n" + mit), ("GPL-2.0", gpl), ("LGPL-2.1", read("LGPL-2.1")), ("MPL-2.0", read("MPL-2.0")), ("Apache-2.0", read("Apache-2.0").replace("[yyyy] [name of copyright owner]", "2020 Jane Roe"))]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(forms)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark, df).collect()}
+    assert [got[k] for k in range(len(forms))] == [n for n, _ in forms]
+    own = "Do what you like with this. " * 200
+    known = spark.createDataFrame([("Own", own)], "license string, body string").select(F.sha2(licenses.canonical(F.col("body")), 256).alias("digest"), "license")
+    rows = spark.createDataFrame([(1, own), (2, f"Head\n{own}\nEnd")], "doc_id long, text string")
+    assert rows_of(licenses.scan(spark, rows, known=known), "doc_id", "license", "notices") == [(1, "Own", "Own"), (2, None, "Own")]
+
+
 # -- 3
 
 
