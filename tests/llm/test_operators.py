@@ -462,5 +462,19 @@ def test_url_filter(spark):
     assert url_filter.judge(spark, pages.limit(0)).count() == 0
 
 
+def test_url_filter_reads_every_form_of_link(spark):
+    link, meta = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        ("http://m.io/d/x", link.format("http://b.com/en/9")), ("http://m.io/d/y", link.format("x")), ("http://m.io/d/e/z", meta.format("../x")), ("http://m.io/k?p=2", link.format("http://b.com/en/1")), ("http://m.io/k", link.format("?p=2")),
+        ("http://n.io/0", link.format("http://c.io/1") + link.format("http://b.com/en/2")), ("http://s.io/v?a=1&b=2", link.format("http://b.com/en/3")), ("http://n.io/1", link.format("http://s.io/v?a=1&amp;b=2")), ("http://n.io/3", link.format("http://s.io/v?a=1&#x26;b&#61;2")),
+        ("http://s.io/w;j=1", link.format("http://b.com/en/4")), ("http://n.io/2", meta.format("http://s.io/w;j=1")), ("http://ok.io/1", link.format("#top") + meta.format("mailto:x")),
+    ]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark, pages).collect()}
+    assert [rows[k][0] for k in range(len(rows)) if got[k] == "allow"] == ["http://ok.io/1"]
+    paths = spark.createDataFrame([(p,) for p in ("/a/./b/../c", "/../x", "/a/b/..", "/a//b", "/")], "p string")
+    assert [r[0] for r in paths.select(url_filter._without_dots(F.col("p"))).collect()] == ["/a/c", "/x", "/a/", "/a//b", "/"]
+
+
 def test_passage_fixture():
     assert len(PASSAGE) >= 40
