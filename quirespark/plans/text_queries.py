@@ -26,6 +26,16 @@ SQL["text_blocks"] = f"""WITH {HYPHENS} SELECT doc_id, replace(replace(text, '-'
   '<div style="text-align: center;">' || replace(replace(substring(text, 1, 80), '-' || chr(10), ''), chr(10), ' ') || '</div>' || chr(10) AS centered FROM texts"""
 
 
+def text_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escapes and centring of whole texts."""
+    t = F.col("text")
+    return hyphened(spark, sf_dir).select("doc_id", T.escape_html(t).alias("escaped"), T.centered(t).alias("centered"))
+
+
+SQL["text_markup"] = f"""WITH {HYPHENS} SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped,
+  '<div style="text-align: center;">' || replace(replace(text, '-' || chr(10), ''), chr(10), ' ') || '</div>' || chr(10) AS centered FROM texts"""
+
+
 def text_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs, spaces and punctuation, on texts made to have them."""
     src = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(" of "), F.lit("   ____ ")), F.lit("."), F.lit(" .....")).alias("text"))
@@ -232,10 +242,19 @@ def vl_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["vl_titles"] = r"""WITH s AS (SELECT item_id, substring(text, 1, 30) AS b FROM benchmark), t AS (SELECT item_id, CASE WHEN contains(b, chr(10)) THEN '1.2' || b ELSE '1.2 ' || regexp_replace(b, '^\s+', '') END AS t FROM s), r AS (SELECT item_id, rtrim(t, '.') AS t FROM t)
 SELECT item_id, replace(replace(repeat('#', CAST(length(t) - length(replace(t, '.', '')) + 2 AS INTEGER)) || ' ' || t, '-' || chr(10), ''), chr(10), ' ') AS title FROM r"""
 
+
+def vl_titles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As vl_titles, on whole texts."""
+    src = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("1.2"), "text").alias("title"))
+    return src.select("item_id", T.as_udf(T.vl_title)("title").alias("title"))
+
+
+SQL["vl_titles_whole"] = SQL["vl_titles"].replace("substring(text, 1, 30)", "text")
+
 QUERIES = {
     f.__name__: f
     for f in (
-        text_blocks, text_spacing, section_titles, tiny_symbols, orientation_labels, argmax_steps, ctc_decode, base_decode, top_classes, compact_rows, banned_tokens, char_boxes, postprocess_lines, postprocess_markdown, parsed_text, truncated_text, tail_cut_text,
-        latex_text, reversed_text, table_otsl, table_formats, table_grids, layout_lines, ratio_splits, vl_titles,
+        text_blocks, text_markup, text_spacing, section_titles, tiny_symbols, orientation_labels, argmax_steps, ctc_decode, base_decode, top_classes, compact_rows, banned_tokens, char_boxes, postprocess_lines, postprocess_markdown, parsed_text, truncated_text, tail_cut_text,
+        latex_text, reversed_text, table_otsl, table_formats, table_grids, layout_lines, ratio_splits, vl_titles, vl_titles_whole,
     )
 }
