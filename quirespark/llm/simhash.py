@@ -2,20 +2,23 @@
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints at most four
 bits apart differ in at most four bytes, so the guaranteed minimum is four
-shared positional bytes. Posting lists of one byte each hold a 256th of the
-corpus and tallying them is quadratic; the index therefore keeps one posting
-list per *four* positional bytes (70 position sets), whose tally for a pair
-sharing m bytes is C(m, 4). The count filter "at least four shared bytes" is
-"tally of at least one", so a pair meets in a list exactly if it passes, and is
-then verified by its Hamming distance.
-
-Work stays linear where a list is long. Fingerprints are reduced to distinct
-values first. Lists of at most ``list_limit`` fingerprints are compared inside
-the list. The members of longer lists are linked exactly by another way: two
-values are within four bits if and only if some value lies within two bits of
-both, so each member is posted under the 2,081 values in its radius-2 ball and
-neighbours in the order of each posting are linked. A ball has 2,081 members at
-most, so no group is unbounded, and no link is dropped at any size.
+shared positional bytes. The index posts each distinct fingerprint under its
+positional bytes; of every pair that meets in a list the shared positional bytes
+are tallied, pairs reaching the minimum are kept and then verified by their
+Hamming distance.
+
+Four shared bytes of eight include one of the first five, so those five lists
+are enough. A list of one byte holds a 256th of the corpus, and tallying all its
+pairs is quadratic: a list of over ``list_limit`` fingerprints is therefore split
+by a further positional byte, later ones in order, until its parts are short or
+share four bytes (5, 15, 35 and at most 70 lists a fingerprint). Any four shared
+bytes lead a pair down to one list, so none that passes the count filter is lost.
+
+Lists that share four bytes and are still long are linked exactly by another
+way: two values are within four bits if and only if some value lies within two
+bits of both, so each member is posted under the 2,081 values in its radius-2
+ball and neighbours in the order of each posting are linked. A ball has 2,081
+members at most, so no group is unbounded, and no link is dropped at any size.
 """
 
 from __future__ import annotations
@@ -28,13 +31,14 @@ from pyspark.sql import functions as F
 
 from quirespark.llm._arrow import slices
 from quirespark.llm._components import components
+from quirespark.llm._lookup import look_up
 from quirespark.llm._store import materialise, unused
 
 SPACE = b" \t\n\x0b\x0c\r"
 MOST_BITS = 4
 SHINGLE = 4
 LIST_LIMIT = 128
-#: shared keys (a long each) are broadcast up to this many, else joined by a shuffle
+#: lists' keys (a long each) are broadcast up to this many, else joined by a shuffle
 BROADCAST_KEYS = 2_000_000
 #: rows (id and digest) of near_dedup's decisions that are broadcast, else joined by a shuffle
 BROADCAST_ROWS = 500_000
@@ -45,8 +49,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-#: The sets of four byte positions.
-POSITIONS = list(combinations(range(_BYTES), _BYTES - MOST_BITS))
+#: bytes that two fingerprints within ``MOST_BITS`` share at least
+LEAST_SHARED = _BYTES - MOST_BITS
+#: By level, the sets of byte positions that key its lists: those that can still grow to ``LEAST_SHARED``.
+LEVELS = [list(combinations(range(MOST_BITS + k), k)) for k in range(LEAST_SHARED + 1)]
 #: Every flip of at most two bits.
 FLIPS = [0] + [_signed(1 << i) for i in range(64)] + [_signed((1 << i) | (1 << j)) for i in range(64) for j in range(i)]
 
@@ -97,41 +103,73 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return fields.mapInArrow(run, f"doc_id {fields.schema['doc_id'].dataType.simpleString()}, fp long, text_key long")
 
 
+def _tally(x: Column, y: Column) -> Column:
+    """Number of positional bytes that two fingerprints share."""
+    apart = x.bitwiseXOR(y)
+    return sum((F.shiftrightunsigned(apart, 8 * p).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for p in range(_BYTES))
+
+
 def _pairs_within(lists: DataFrame) -> DataFrame:
-    """Verified links (a, b) among the fingerprints of each short list."""
+    """Links (a, b) among the fingerprints of each short list: tallied, filtered by count, verified."""
     x, y = F.col("x"), F.col("y")
     pairs = lists.select(F.posexplode("fps").alias("i", "x"), "fps").select("x", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps"))).alias("y"))
-    return pairs.filter(F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return pairs.filter(_tally(x, y) >= LEAST_SHARED).filter(F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS).select(x.alias("a"), y.alias("b"))
+
+
+def _split(lists: DataFrame, level: int) -> DataFrame:
+    """(fp, key) of the lists at ``level`` that those of the level before, rows (fp, key), are split into.
+
+    A key is the number of the position set in its level and the set's bytes.
+    """
+    above = {s: n for n, s in enumerate(LEVELS[level - 1])}
+    parts: list[list] = [[] for _ in above]
+    for n, s in enumerate(LEVELS[level]):
+        parts[above[s[:-1]]].append(F.struct(F.lit(n << 32).alias("n"), F.lit(8 * s[-1]).alias("at")))
+    mine = F.element_at(F.array(*[F.array(*p) for p in parts]), F.shiftrightunsigned("key", 32).cast("int") + 1)
+    low = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def keyed(c: Column) -> Column:
+        byte = F.call_function("shiftrightunsigned", F.col("fp"), c["at"]).bitwiseAND(F.lit(0xFF))
+        return c["n"].bitwiseOR(low).bitwiseOR(F.shiftleft(byte, 8 * (level - 1)))
+
+    return lists.select("fp", F.explode(F.transform(mine, keyed)).alias("key"))
 
 
-def _key(fp: Column, number: int, positions: tuple[int, ...]) -> Column:
-    """One long of a position set's number and its four bytes."""
-    key = F.lit(number << 32)
-    for k, p in enumerate(positions):
-        key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(0xFF)), 8 * k))
-    return key
+def _held_by(posted: DataFrame, keys: DataFrame, many: int) -> DataFrame:
+    """The postings of the lists ``keys``, which are broadcast if they are few."""
+    return posted.join(F.broadcast(keys) if many <= BROADCAST_KEYS else keys, "key", "left_semi")
 
 
 def links(spark: SparkSession, values: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """Links (a, b) of a graph on distinct ``fp`` with the components of "at most four bits apart".
 
-    Lists are counted by key alone, partial counts first; only members of lists
-    of two or more are then gathered.
+    At each level lists are counted by key alone, partial counts first; only
+    members of short lists of two or more are then gathered.
     """
     from pyspark.sql import Window
 
-    # every value becomes 70 rows: spread them first, as a few small partitions are merged otherwise
+    # a value becomes up to 70 rows: spread them first, as a few small partitions are merged otherwise
     # (by no key: a hash of fp, as they already lie, would be taken as done)
-    spread = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    posted = spread.select("fp", F.explode(F.array(*[_key(F.col("fp"), n, p) for n, p in enumerate(POSITIONS)])).alias("key"))
-    shared = materialise(spark, posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "postings")
-    few = shared.count() <= BROADCAST_KEYS
-    members = materialise(spark, posted.join(F.broadcast(shared) if few else shared, "key"), "members")
-    short = members.filter(F.col("n") <= list_limit).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    long_ = members.filter(F.col("n") > list_limit).select("fp").distinct()
-    near = long_.select("fp", F.explode(F.transform(F.array(*[F.lit(f) for f in FLIPS]), lambda m: F.col("fp").bitwiseXOR(m))).alias("near"))
+    lists = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("fp", F.lit(0).cast("long").alias("key"))
+    found = spark.createDataFrame([], "a long, b long")
+    for level in range(1, LEAST_SHARED + 1):
+        posted = _split(lists, level)
+        counts = materialise(spark, posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "postings")
+        short, long_ = counts.filter(F.col("n") <= list_limit).select("key"), counts.filter(F.col("n") > list_limit).select("key")
+        n_long = long_.count()
+        n_short = counts.count() - n_long
+        if n_short:
+            gathered = _held_by(posted, short, n_short).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+            found = found.unionByName(materialise(spark, _pairs_within(gathered).distinct(), "near-pairs"))
+        if not n_long:
+            return found.distinct()
+        lists = _held_by(posted, long_, n_long)
+        if n_long > BROADCAST_KEYS:
+            lists = materialise(spark, lists, "long-lists")
+    dense = lists.select("fp").distinct()
+    near = dense.select("fp", F.explode(F.transform(F.array(*[F.lit(f) for f in FLIPS]), lambda m: F.col("fp").bitwiseXOR(m))).alias("near"))
     chained = near.select("near", F.col("fp").alias("a"), F.lag("fp").over(Window.partitionBy("near").orderBy("fp")).alias("b")).filter(F.col("b").isNotNull())
-    return _pairs_within(short).unionByName(chained.select("a", "b")).distinct()
+    return found.unionByName(chained.select("a", "b")).distinct()
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_limit: int = LIST_LIMIT) -> DataFrame:
@@ -142,14 +180,15 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     Repeated rows give repeated results; extra columns are not read.
     """
     prints = materialise(spark, fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = links(spark, reps.select("fp"), list_limit)
-    roots = components(spark, edges)
-    linked = roots.join(reps, roots["node"] == reps["fp"]).select("node", "root", "least")
-    best = linked.groupBy("root").agg(F.min("least").alias("best"))
-    moved = linked.join(best, "root").select(F.col("node").alias("fp"), "best")
-    by_print = reps.join(moved, "fp", "left").select("fp", F.coalesce("best", "least").alias("component_id"))
-    return prints.join(by_print, "fp").select("doc_id", "fp", "text_key", "component_id")
+    reps = materialise(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")), "distinct-fingerprints")
+    roots = components(spark, links(spark, reps.select("fp"), list_limit))
+    linked = materialise(spark, roots.join(reps, roots["node"] == reps["fp"]).select("fp", "root", "least"), "linked")
+    best = materialise(spark, linked.groupBy("root").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("held")), "roots")
+    moved = look_up(linked, best, "root", "held").select("fp", "best")
+    # a fingerprint of one row that nothing links needs no answer
+    answers = reps.join(moved, "fp", "left").filter("held > 1 or best is not null").select("fp", F.coalesce("best", "least").alias("of_print"), "held")
+    answers = materialise(spark, answers, "components")
+    return look_up(prints, answers, "fp", "held").select("doc_id", "fp", "text_key", F.coalesce("of_print", "doc_id").alias("component_id"))
 
 
 def hex_of(fp: Column) -> Column:
