@@ -1,30 +1,33 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
 Texts are normalised (each run of the six ASCII white-space characters to one
-space) and keyed by SHA-256. The index holds one entry a row (key, a second
-digest, id), written to the shared folder. Its directory maps key prefixes
-to buckets and doubles until no bucket of more than one prefix holds over
-``BUCKET_KEYS`` distinct keys, so overfull buckets split and others stay whole;
-it has a row a bucket, never one a key. Owner tasks take buckets, that is key
-ranges. A key's entries are pre-aggregated before they reach their owner, so a
-text that a third of all rows hold costs its owner one entry a map task.
-
-Keys of several entries are suspects. Their texts alone travel to the owners,
-reduced to one copy a map task, where equal keys chain and are told apart by
-comparing the bytes of whole texts.
+space) and keyed by a 64-bit hash. The index is a set of tables in the shared
+folder: one entry a row (id, key, SHA-256), one row a distinct key, and the
+directory. The directory maps prefixes of keys to buckets: it doubles until no
+bucket holds over ``bucket_keys`` distinct keys, so overfull buckets split and
+others stay whole. A bucket is a range of keys.
+
+Keys of one row are settled by the index alone. The texts of the others, the
+suspects, travel to owner tasks, one of which takes a bucket whole; each map task
+sends one copy of a text with its count and least id, so a text that a third of
+all rows hold costs its owner one copy a map task. Owners compare the bytes of
+whole texts and chain those that share a key. Rows take their answer from the
+chain of their key; where a chain has several texts, by the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirespark.llm._lookup import FEW, HOT, look_up
 from quirespark.llm._store import materialise, unused
 
-BUCKET_KEYS = 1_000_000
+#: distinct keys of a bucket, and the bits of a prefix at most
+BUCKET_KEYS = 2_000
 MOST_DEPTH = 20
-#: suspects' ids are broadcast up to this many rows (16 bytes each), else joined by a shuffle
-BROADCAST_ROWS = 2_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -32,77 +35,74 @@ def normalised(text: Column) -> Column:
 
 
 def _prefix(key: Column, depth: int) -> Column:
-    """The first ``depth`` bits of a hex digest as a number."""
-    return F.shiftright(F.conv(F.substring(key, 1, 7), 16, 10).cast("long"), 28 - depth)
+    """The first ``depth`` bits of a 64-bit key as a number."""
+    return F.shiftrightunsigned(key, 64 - depth).cast("int") if depth else F.lit(0)
 
 
-def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, most_depth: int = MOST_DEPTH) -> list[tuple[int, int]]:
-    """Buckets (depth, prefix) of an extendible-hash directory over the distinct ``sha`` of ``keys``.
+def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, most_depth: int = MOST_DEPTH) -> tuple[DataFrame, int]:
+    """The directory over the distinct ``key`` of ``keys``: (slot, bucket, depth) for every slot that holds a key, and its depth.
 
-    Starts with one bucket of depth 0; every overfull bucket splits in two by its
-    next bit until it fits or the directory has ``most_depth`` bits. The counts
-    that come to the driver are one a bucket.
+    A slot is a prefix of as many bits as the directory has. Buckets of fewer
+    bits take several slots; ``bucket`` is their first. A bucket splits while it
+    holds over ``bucket_keys`` keys, at most to ``most_depth`` bits, so that the
+    directory has 2^20 slots at most whatever the input.
     """
-    done: list[tuple[int, int]] = []
-    split = [(0, 0)]
-    depth = 0
     total = keys.count()
-    if total <= bucket_keys:
-        return split
-    while split and depth < most_depth:
-        # double: bits enough for the average overfull bucket, at least one
-        depth = min(most_depth, depth + max(1, (total // (bucket_keys * max(1, len(split)))).bit_length()))
-        counts = {r["p"]: r["n"] for r in keys.groupBy(_prefix(F.col("sha"), depth).alias("p")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-        nxt = []
-        for d, p in split:
-            mine = {q: n for q, n in counts.items() if q >> (depth - d) == p}
-            stack = [(d, p)]
-            while stack:
-                e, q = stack.pop()
-                n = sum(c for x, c in mine.items() if x >> (depth - e) == q)
-                if n <= bucket_keys:
-                    done.append((e, q))
-                elif e == depth:
-                    nxt.append((e, q))
-                else:
-                    stack += [(e + 1, 2 * q), (e + 1, 2 * q + 1)]
-        split = nxt
-    return sorted(done + split, key=lambda b: b[1] << (most_depth - b[0]))
-
-
-def _bucket(key: Column, buckets: list[tuple[int, int]]) -> Column:
-    """Number of the directory slot that owns a key: its prefix at the directory's depth."""
-    deep = max(d for d, _ in buckets)
-    return _prefix(key, deep).cast("int") if deep else F.lit(0)
-
-
-def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    depth = 0
+    while depth < most_depth and total > bucket_keys << depth:
+        depth += 1
+    # hashes fill slots evenly; four doublings more are room for those that do not
+    depth = min(most_depth, depth + 4) if depth else 0
+    slots = keys.groupBy(_prefix(F.col("key"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    every = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")).withColumn("p", F.expr(f"shiftright(slot, {depth} - d)"))
+    held = every.groupBy("d", "p").agg(F.sum("n").alias("n"))
+    # the bucket of a slot: its shortest prefix that fits, else the slot itself
+    fits = held.filter((F.col("n") <= bucket_keys) | (F.col("d") == depth)).select("d", "p")
+    mine = every.join(fits, ["d", "p"]).groupBy("slot").agg(F.min("d").alias("depth"))
+    return mine.select("slot", F.expr(f"shiftleft(shiftright(slot, {depth} - depth), {depth} - depth)").alias("bucket"), "depth"), depth
+
+
+def _suspects_of(docs: DataFrame, id_col: str, text_col: str, key: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, norm, key) of each row."""
+    return docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("key", key(F.col("norm")))
+
+
+def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, key: Callable[[Column], Column] = F.xxhash64, few: int = FEW, hot: int = HOT) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row.
 
     Null text counts as empty. The row with the least doc_id of equal texts
     stays; null ids rank last, so a group without any other keeps a null id.
     Where rows repeat that doc_id all of them are marked kept = doc_id equals
-    keep_id. Extra columns are not read.
+    keep_id. Very long texts are hashed and compared whole. Extra columns are not
+    read. Any ``key`` (a long) gives the same result; a weak one, longer chains.
     """
-    norm = normalised(docs[text_col])
-    entries = docs.select(F.col(id_col).alias("doc_id"), F.sha2(norm, 256).alias("sha"), F.xxhash64(norm).alias("second"))
-    entries = materialise(spark, entries, "entries")
-    chains = materialise(spark, entries.groupBy("sha", "second").agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("keep_id")), "chains")
-    buckets = directory(chains, bucket_keys)
-    suspects = chains.filter("group_size > 1").select("sha", "second")
-    ids = materialise(spark, entries.join(suspects, ["sha", "second"]).select(F.col("doc_id").alias("suspect")).distinct(), "suspects")
-    few = ids.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("suspect")), "left_semi")
-    texts = texts.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("sha", F.sha2("norm", 256))
-    # grouping by the whole text compares bytes; a map task sends each text once
-    owned = texts.withColumn("bucket", _bucket(F.col("sha"), buckets)).groupBy("bucket", "sha", "norm").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
-    owned = owned.select("sha", F.xxhash64("norm").alias("second"), "n", "least")
-    # texts of one (sha, second) that differ in bytes would appear as several rows here
-    compared = owned.groupBy("sha", "second").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.min("least").alias("least"))
-    sound = compared.select("sha", "second", F.assert_true(F.col("texts") == 1, F.lit("two texts share SHA-256 and XXH64")).alias("ok"), "n", "least")
-    checked = chains.join(sound, ["sha", "second"], "left")
-    checked = checked.select("sha", "second", F.coalesce(F.when(F.col("group_size") > 1, F.col("n")), F.col("group_size")).alias("group_size"), F.coalesce(F.when((F.col("group_size") > 1) & F.col("ok").isNull(), F.col("least")), F.col("keep_id")).alias("keep_id"))
-    out = entries.join(checked, ["sha", "second"])
+    entries = _suspects_of(docs, id_col, text_col, key)
+    entries = materialise(spark, entries.select("doc_id", "key", F.sha2("norm", 256).alias("sha")), "entries")
+    keys = materialise(spark, entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")), "keys")
+    slots, depth = directory(keys, bucket_keys)
+    slots = materialise(spark, slots, "directory")
+    shared = keys.filter("held > 1").select("key", "held", F.lit(True).alias("shared"))
+    texts = look_up(_suspects_of(docs, id_col, text_col, key), shared, "key", "held", few, hot).filter("shared").drop("shared")
+    # the directory has 2^20 rows of two numbers at most
+    owned = texts.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+    owned = owned.withColumn("slot", _prefix(F.col("key"), depth)).join(F.broadcast(slots.select("slot", "bucket")), "slot")
+    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chain = Window.partitionBy("bucket", "key")
+    # a bucket's owner: equal texts are one row by now, so rows of one key are a chain of texts that differ in bytes
+    chains = owned.repartition(owners, "bucket").select("key", "n", "least", F.count(F.lit(1)).over(chain).alias("texts"), "norm")
+    chains = materialise(spark, chains.withColumn("norm", F.when(F.col("texts") > 1, F.col("norm"))), "chains")
+    single = chains.filter("texts = 1").select("key", F.col("n").alias("size"), F.col("least").alias("first"), F.col("n").alias("held"))
+    out = look_up(entries, single, "key", "held", few, hot)
+    out = out.select("key", "doc_id", F.coalesce(F.when(F.col("size").isNotNull(), F.col("first")), F.col("doc_id")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), "sha")
+    several = chains.filter("texts > 1").select("key", "norm", F.col("n").alias("size"), F.col("least").alias("first"))
+    if not several.isEmpty():
+        # rows whose key has several texts are answered by the text, from the documents; a key's rows spread by text
+        apart = several.groupBy("key").agg(F.sum("size").alias("held")).withColumn("apart", F.lit(True))
+        out = look_up(out, apart, "key", "held", few, hot).filter("apart is null").drop("apart")
+        asked = look_up(_suspects_of(docs, id_col, text_col, key), apart, "key", "held", few, hot).filter("apart")
+        by_text = several.select(F.struct("key", "norm").alias("k"), "size", "first", F.col("size").alias("held"))
+        told = look_up(asked.select("key", "doc_id", "norm", F.struct("key", "norm").alias("k")), by_text, "k", "held", 0, hot)
+        out = out.unionByName(told.select("key", "doc_id", F.col("first").alias("keep_id"), F.col("size").alias("group_size"), F.sha2("norm", 256).alias("sha")))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 

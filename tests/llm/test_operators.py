@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirespark.llm import bpe, exact_dedup, licenses, line_dedup, mixing, quality, secrets, sharding, simhash, url_filter
 from quirespark.llm._components import components
+from quirespark.llm._lookup import look_up
 from tests.llm.conftest import PASSAGE, texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,6 +88,12 @@ def test_simhash_long_lists_lose_no_link(spark):
         assert Counter(sizes.values()) == Counter({k: v for k, v in want.items() if k > 1})
 
 
+def test_levels_and_tally(spark):
+    assert [len(x) for x in simhash.LEVELS] == [1, 5, 15, 35, 70]
+    pairs = spark.createDataFrame([(0, 0), (0, 0x0101010100000000), (0, 0x0101010101000000), (-1, 0)], "x long, y long")
+    assert [r[0] for r in pairs.select(simhash._tally(F.col("x"), F.col("y"))).collect()] == [8, 4, 3, 0]
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, docs, empty):
     kept = simhash.near_dedup(spark, docs)
     assert kept.columns == docs.columns
@@ -264,8 +271,8 @@ def test_exact_dedup(spark, docs, empty):
     for (i, _), n in zip(texts(), norm):
         keep = min((x for x in ids[n] if x is not None), default=None)
         want.append((i, keep, len(ids[n]), i == keep, hashlib.sha256(n.encode()).hexdigest()))
-    for capacity in (exact_dedup.BUCKET_KEYS, 3):
-        got = exact_dedup.groups(spark, docs, bucket_keys=capacity)
+    for options in ({}, {"bucket_keys": 3}, {"key": lambda t: F.length(t).cast("long") % 3, "bucket_keys": 1}, {"few": 0, "hot": 2}, {"key": lambda t: F.length(t).cast("long") % 3, "few": 0, "hot": 2}):
+        got = exact_dedup.groups(spark, docs, **options)
         assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
     assert exact_dedup.groups(spark, empty).count() == 0
     once = exact_dedup.dedup(spark, docs)
@@ -273,9 +280,28 @@ def test_exact_dedup(spark, docs, empty):
 
 
 def test_directory_splits_overfull_buckets(spark):
-    keys = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("sha"))
-    buckets = exact_dedup.directory(keys, bucket_keys=300)
-    assert sum(2.0**-d for d, _ in buckets) == 1.0 and len(buckets) >= 7
+    ids = spark.range(2000)
+    # half of the keys share their first bits, so that part of the directory is deeper
+    keys = ids.select(F.when(F.col("id") % 2 == 0, F.shiftrightunsigned(F.xxhash64("id"), 6)).otherwise(F.xxhash64("id")).alias("key"))
+    slots, depth = exact_dedup.directory(keys, bucket_keys=100)
+    rows = slots.collect()
+    of = {r["slot"]: (r["bucket"], r["depth"]) for r in rows}
+    held, deep = Counter(), {}
+    for r in keys.collect():
+        slot = (r["key"] & (1 << 64) - 1) >> (64 - depth)
+        held[of[slot]] += 1
+        assert slot >> (depth - of[slot][1]) << (depth - of[slot][1]) == of[slot][0]
+        deep[of[slot]] = of[slot][1]
+    assert max(n for k, n in held.items() if deep[k] < depth) <= 100 and len(set(deep.values())) > 2
+    assert exact_dedup.directory(keys, bucket_keys=5000)[1] == 0
+
+
+def test_look_up_gives_every_row_its_answer(spark):
+    rows = spark.createDataFrame([(k, k % 7 if k % 11 else None) for k in range(400)] + [(k, 3) for k in range(400, 900)], "id long, k long")
+    answers = spark.createDataFrame([(k, f"a{k}", 557 if k == 3 else 60) for k in range(5)], "k long, a string, n long")
+    want = sorted(((r["id"], r["k"], f"a{r['k']}" if r["k"] is not None and r["k"] < 5 else None) for r in rows.collect()), key=repr)
+    for few in (10, 2, 0):
+        assert rows_of(look_up(rows, answers, "k", "n", few, 100), "id", "k", "a") == want
 
 
 # -- 6
