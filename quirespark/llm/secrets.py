@@ -9,6 +9,11 @@ ones, PEM keys and YAML blocks go over line breaks. Constants are propagated ins
 to a constant makes the constant's own literal a secret. A pair is reported if
 its target name is sensitive and its value scores at least ``LEAST_SCORE``.
 
+A name's value is a tree of literals and other names' values, so that a chain of
+names which each repeat the one before takes linear memory. Values of up to
+``WHOLE`` characters are scored by their text, longer concatenations by the
+marks of their parts (length, kinds of characters, their frequencies, both ends).
+
 Reported spans are code points of the literal, end exclusive. Spans of the
 method are left out only where a base span holds them whole; base spans always
 stay.
@@ -21,6 +26,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +38,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "lexed")
 LEAST_SCORE = 4.0
+#: characters up to which a concatenation is put together to be scored
+WHOLE = 4096
 
 _NAME = re.compile(
     r"(?<![A-Za-z0-9_.$-])[\"']?(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*+)[\"']?[\x20\t]*(?P<op>:=|=>|=(?![=~>])|:(?![:/=]))[\x20\t]*(?=[\"'A-Za-z0-9+/_$`(|>]|-----BEGIN )",
@@ -67,15 +76,24 @@ def sensitive(name: str) -> float:
     return max((p for pattern, p in _SENSITIVE if pattern.search(plain)), default=0.0)
 
 
-def score(name: str, value: str, quoted: bool) -> float:
+def score(name: str, value: str | Value, quoted: bool) -> float:
     """Points of a pair: the target name's sensitivity, then the value's length, mixture and entropy."""
     points = sensitive(name)
-    if not points or len(value) < 8 or _PLACEHOLDER.match(value):
+    n = len(value) if isinstance(value, str) else value.n
+    if not points or n < 8:
         return 0.0
-    kinds = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    points += 0.5 * (kinds - 1) + (0.5 if len(value) >= 16 else 0.0) + (0.5 if quoted else 0.0)
-    points += 0.5 if entropy(value) >= 3.0 else -0.5
-    if _spaced(value) or value.isalpha() and not quoted:
+    if isinstance(value, str):
+        if _PLACEHOLDER.match(value):
+            return 0.0
+        kinds = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        bits, spaced, letters = entropy(value), _spaced(value), value.isalpha()
+    else:
+        if value.filler:
+            return 0.0
+        kinds, bits, spaced, letters = bin(value.kinds).count("1"), value.entropy(), value.spaced, value.letters
+    points += 0.5 * (kinds - 1) + (0.5 if n >= 16 else 0.0) + (0.5 if quoted else 0.0)
+    points += 0.5 if bits >= 3.0 else -0.5
+    if spaced or letters and not quoted:
         points -= 2.0
     return points
 
@@ -87,6 +105,78 @@ def _spaced(value: str) -> bool:
     return " " in value and ("\n" not in value or any(" " in x.strip() for x in value.split("\n")))
 
 
+class Value:
+    """A name's value: a span of the text, or the concatenation of other values.
+
+    ``marks`` of a long one are made from its parts' marks, so that they take
+    constant memory and no text is put together.
+    """
+
+    __slots__ = ("_marks", "n", "parts", "quoted", "span", "told")
+
+    def __init__(self, n: int, quoted: bool, span: tuple[int, int] | None = None, parts: tuple[Value, ...] = ()):
+        # a length that doubling would let run away stays a bounded number: only small ones are compared
+        self.n, self.quoted, self.span, self.parts, self.told, self._marks = min(n, 1 << 62), quoted, span, parts, False, None
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Spans of the value's literals, each once, but those a call has given before."""
+        out, todo = [], [self]
+        while todo:
+            v = todo.pop()
+            if not v.told:
+                v.told = True
+                out += [v.span] if v.span else []
+                todo += v.parts
+        return out
+
+    def text(self, whole: str) -> str:
+        """The value put together, for values of few characters."""
+        out, todo = [], [self]
+        while todo:
+            v = todo.pop()
+            if v.span:
+                out.append(whole[v.span[0] : v.span[1]])
+            todo += reversed(v.parts)
+        return "".join(out)
+
+    def weigh(self, whole: str) -> None:
+        """Make the marks of this value and of those it is made of."""
+        todo = [self]
+        while todo:
+            v = todo[-1]
+            wait = [p for p in v.parts if p._marks is None] if v._marks is None else []
+            if wait:
+                todo += wait
+                continue
+            todo.pop()
+            if v._marks is None:
+                v._marks = v._of_span(whole) if v.span else v._of_parts()
+
+    def _of_span(self, whole: str) -> tuple:
+        text = whole[self.span[0] : self.span[1]]
+        counts = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 127, minlength=128)
+        kinds = sum(1 << k for k, c in enumerate(("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")) if re.search(c, text))
+        return (counts / len(text)).astype(np.float32), kinds, _spaced(text), text.isalpha(), _PLACEHOLDER.match(text) is not None
+
+    def _of_parts(self) -> tuple:
+        marks, n = [p._marks for p in self.parts], sum(p.n for p in self.parts)
+        shares = sum(m[0] * np.float32(p.n / n) for m, p in zip(marks, self.parts))
+        kinds = 0
+        for m in marks:
+            kinds |= m[1]
+        # fillers in a row are one filler
+        return shares, kinds, any(m[2] for m in marks), all(m[3] for m in marks), all(m[4] for m in marks)
+
+    def entropy(self) -> float:
+        share = self._marks[0][self._marks[0] > 0].astype(float)
+        return float(-(share * np.log2(share)).sum())
+
+    kinds = property(lambda self: self._marks[1])
+    spaced = property(lambda self: self._marks[2])
+    letters = property(lambda self: self._marks[3])
+    filler = property(lambda self: self._marks[4])
+
+
 def _block(text: str, key: int, at: int) -> tuple[int, int] | None:
     """Span of the YAML block whose key starts at ``key`` and whose head is at ``at``."""
     line = text.rfind("\n", 0, key) + 1
@@ -109,29 +199,34 @@ def _block(text: str, key: int, at: int) -> tuple[int, int] | None:
     return None if start is None else (start, end)
 
 
+def _joined(parts: list[Value]) -> Value:
+    return parts[0] if len(parts) == 1 else Value(sum(p.n for p in parts), any(p.quoted for p in parts), parts=tuple(parts))
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach sensitive names, constants propagated in order of appearance."""
-    constants: dict[str, tuple[list[tuple[int, int]], bool]] = {}
+    constants: dict[str, Value] = {}
     found: list[tuple[int, int]] = []
     at = run = word = 0
     while m := _NAME.search(text, at):
-        pos, spans, quoted = m.end(), [], False
+        pos, parts, quoted, read = m.end(), [], False, False
         at = m.end()
         if m["op"] == ":" and text[pos] in "|>" and (block := _block(text, m.start(), pos)):
-            spans, quoted = [block], True
-        while not (spans and pos == at) and (o := _OPERAND.match(text, pos)):
+            parts, quoted, read = [Value(block[1] - block[0], True, block)], True, True
+        while not (read and pos == at) and (o := _OPERAND.match(text, pos)):
             if part := next((p for p in _LITERALS if o[p] is not None), None):
-                spans.append(o.span(part))
-                quoted, pos = True, o.end()
+                a, b = o.span(part)
+                parts += [Value(b - a, True, (a, b))] if b > a else []
+                quoted, pos, read = True, o.end(), True
             elif o["ref"] is not None and (known := constants.get(o["ref"].strip("${}"))) and not _WORD.match(text, o.end()):
-                spans.extend(known[0])
-                quoted, pos = quoted or known[1], o.end()
-            elif not spans and (pos < run or (b := _BARE.match(text, pos))):
+                parts.append(known)
+                quoted, pos, read = quoted or known.quoted, o.end(), True
+            elif not read and (pos < run or (b := _BARE.match(text, pos))):
                 # a name that no constant has is its own text; a run's end is looked for once
                 if pos >= run:
                     run = b.end()
                     word = pos + len(b[0].rstrip(".,;:!?"))
-                spans.append((pos, max(pos, word)))
+                parts += [Value(word - pos, False, (pos, word))] if word > pos else []
                 pos = run
                 break
             else:
@@ -139,14 +234,20 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
             if not (j := _JOIN.match(text, pos)):
                 break
             pos = j.end()
-        if not any(b > a for a, b in spans):
+        if not parts:
             continue
         # an unquoted value may itself hold a pair (a URL's query), as may one over lines: go on inside it
         at = pos if quoted and "\n" not in text[at:pos] else at
-        constants[m["name"]] = (spans, quoted)
-        if sensitive(m["name"]) and score(m["name"], "".join(text[a:b] for a, b in spans), quoted) >= LEAST_SCORE:
-            found.extend(spans)
-    return sorted(set(s for s in found if s[1] > s[0]))
+        value = constants[m["name"]] = _joined(parts)
+        if sensitive(m["name"]):
+            if value.n > WHOLE and not value.span:
+                value.weigh(text)
+                points = score(m["name"], value, quoted)
+            else:
+                points = score(m["name"], value.text(text), quoted)
+            if points >= LEAST_SCORE:
+                found.extend(value.spans())
+    return sorted(set(found))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -180,7 +281,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row.
 
     Null text counts as empty: zero counts, the digest of the empty string and no
-    spans. Texts are scanned whole; extra columns are not read.
+    spans. Texts and literals of any length are scanned whole, in memory linear in
+    the text. Repeated rows give repeated results; extra columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

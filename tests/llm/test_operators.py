@@ -205,6 +205,19 @@ def test_long_and_multi_line_literals_are_redacted_whole(text, left):
     assert secrets.redact(text) == left
 
 
+def test_repeated_concatenation_takes_linear_time():
+    import time
+
+    lines = ['v0 = "Zq8rT2mX"'] + [f"v{i + 1} = v{i} + v{i}" for i in range(2000)] + ["password = v2000", 'token = v9 + v12 + "tail-9Q"']
+    text, at = "\n".join(lines), time.time()
+    assert secrets.lexed_spans(text) == [(text.index("Zq8"), text.index("Zq8") + 8), (text.index("tail"), text.index("tail") + 7)]
+    assert time.time() - at < 2
+    filler = "\n".join(['v0 = "xxxxxxxx"'] + [f"v{i + 1} = v{i} + v{i}" for i in range(60)] + ["password = v60"])
+    assert secrets.lexed_spans(filler) == []
+    long_ = '"' + "aB3$" * 1500 + '"'
+    assert secrets.lexed_spans(f"a = {long_}\ndb_pwd = a + a") == [(5, 6005)]
+
+
 def test_redaction():
     assert secrets.redact("x password=abcdefgh1 y") == "x [SECRET] y"
     assert secrets.redact(None) is None
