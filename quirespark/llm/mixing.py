@@ -8,23 +8,26 @@ taken until the total budget is spent; the turn that crosses it is cut.
 
 Both running sums are built from ranges: range totals first, then sums inside
 each range, so that neither a source with a third of all rows nor the global
-order ever meets in one task. Only the range that the budget falls into is
-sorted; what a row is taken then follows from that one crossing turn. Ids,
-sources and sizes move; texts do not.
+order ever meets in one task. A source's ranges grow in number with the rows.
+The range of finish times that the budget falls into is cut into ranges again
+until it holds ``RANGE_ROWS`` turns at most; only those are sorted, and what a
+row is taken then follows from the one turn that crosses the budget. Ids,
+sources and sizes move; texts do not, but for ``mixed``, which joins what each
+row is taken to the documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirespark.llm._store import materialise, unused
 
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
-#: a source's shuffle is cut by this many hex digits of its key, finish times into so many ranges
-DIGITS = 3
+#: ranges that finish times are cut into at once, turns that a task sorts, and rows a source's range should hold
 RANGES = 4096
+RANGE_ROWS = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -53,7 +56,30 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: in
     return per.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * level)).select("source", "rank", "source_size", "target")
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _crossing(turns: DataFrame, budget: int, ranges: int, range_rows: int) -> tuple[Row, int] | None:
+    """The turn that spends the budget's last word, and the words spent before it; None if the turns do not spend it."""
+    start, low, high = 0, 0.0, 2.0
+    while True:
+        at = F.least(F.lit(ranges - 1), F.floor((F.col("finish") - low) / F.lit(high - low) * ranges).cast("int"))
+        turns = turns.withColumn("g", F.greatest(F.lit(0), at))
+        spans = turns.groupBy("g").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("finish").alias("low"), F.max("finish").alias("high"))
+        earlier = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+        spans = spans.withColumn("start", F.lit(start) + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        span = spans.filter((F.col("start") < budget) & (F.col("start") + F.col("n") >= budget)).first()
+        if span is None:
+            return None
+        start, low, high = span["start"], span["low"], span["high"]
+        turns = turns.filter(F.col("g") == span["g"])
+        # turns of one finish time: at most one a source
+        if span["rows"] <= range_rows or low == high:
+            break
+    order = Window.orderBy("finish", "rank", "at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = turns.withColumn("end", F.lit(start) + F.sum("size").over(order))
+    turn = ends.filter((F.col("end") >= budget) & (F.col("end") - F.col("size") < budget)).first()
+    return turn, turn["end"] - turn["size"]
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ranges: int = RANGES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(doc_id, text_key, size, source_size, target, taken) for every row.
 
     taken counts the words the mix takes of a row, repeats included, at most
@@ -67,7 +93,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     goal = materialise(spark, targets(sized, weights, most_times), "targets")
     # a source's rank stands for it from here: never null, and orders turns of equal finish time
     rows = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select("doc_id", "text_key", "size", "rank", "source_size", "target")
-    rows = rows.withColumn("o", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key"))).withColumn("r", F.substring("o", 1, DIGITS))
+    digits = 3
+    while sized.count() > range_rows << 4 * digits:
+        digits += 1
+    rows = rows.withColumn("o", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key"))).withColumn("r", F.substring("o", 1, digits))
     ahead = Window.partitionBy("rank").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("rank", "r").agg(F.sum("size").alias("n")).select("rank", "r", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
     inside = Window.partitionBy("rank", "r").orderBy("o", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -78,50 +107,48 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     times = F.least(F.lit(most_times), F.floor(F.col("target") / F.col("source_size")).cast("int") + 1)
     turns = placed.filter((F.col("size") > 0) & (F.col("target") > 0)).select("rank", "size", "target", F.explode(F.sequence(F.lit(0), times - 1)).alias("turn"), "source_size", "cum")
     turns = turns.withColumn("at", F.col("turn") * F.col("source_size") + F.col("cum")).withColumn("finish", F.col("at") / F.col("target"))
-    late = 2 * RANGES + F.floor(F.log2(F.col("finish") / 2) * 256)
-    turns = turns.select("rank", "size", "at", "finish", F.when(F.col("finish") < 2, F.floor(F.col("finish") * RANGES)).otherwise(late).alias("g"))
+    turns = turns.select("rank", "size", "at", "finish")
 
     budget = goal.agg(F.sum("source_size")).first()[0] or 0
-    earlier = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    spans = turns.groupBy("g").agg(F.sum("size").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    span = spans.filter((F.col("start") < budget) & (F.col("start") + F.col("n") >= budget)).first()
-    cross = None
-    if span is not None:
-        order = Window.orderBy("finish", "rank", "at").rowsBetween(Window.unboundedPreceding, 0)
-        ends = turns.filter(F.col("g") == span["g"]).withColumn("end", F.lit(span["start"]) + F.sum("size").over(order))
-        cross = ends.filter((F.col("end") >= budget) & (F.col("end") - F.col("size") < budget)).first()
+    cross = _crossing(turns, budget, ranges, range_rows) if budget else None
     taken = F.lit(0)
     for turn in range(most_times if cross is not None else 0):
         at = F.col("source_size") * turn + F.col("cum")
         now = F.struct((at / F.col("target")).alias("f"), F.col("rank").cast("int").alias("r"), at.alias("a"))
-        last = F.struct(F.lit(cross["finish"]).alias("f"), F.lit(cross["rank"]).cast("int").alias("r"), F.lit(cross["at"]).cast("long").alias("a"))
-        cut = F.lit(budget - (cross["end"] - cross["size"]))
+        last = F.struct(F.lit(cross[0]["finish"]).alias("f"), F.lit(cross[0]["rank"]).cast("int").alias("r"), F.lit(cross[0]["at"]).cast("long").alias("a"))
+        cut = F.lit(budget - cross[1])
         came = F.when((F.col("size") <= 0) | (F.col("target") <= 0) | (F.lit(turn) >= times), 0)
         taken = taken + came.when(now < last, F.col("size")).when(now == last, cut).otherwise(0)
     return placed.select("doc_id", "text_key", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
+def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns kept.
 
     A row comes once for each whole time it is taken; the one row that the
     budget cuts comes as its first words. Rows not taken, and texts without
-    words, are left out.
+    words, are left out. Documents are shuffled once, to what they are taken,
+    and neither sorted nor gathered.
     """
-    chosen = mix(spark, docs, weights, most_times).filter("taken > 0")
+    chosen = mix(spark, docs, weights, most_times, id_col, text_col, source_col).filter("taken > 0")
     # rows that repeat id and text share what they were taken
     i, k, size, total, rows, part = unused(docs, "mix_id", "mix_key", "mix_size", "mix_sum", "mix_rows", "mix_part")
     per = chosen.groupBy(F.col("doc_id").alias(i), F.col("text_key").alias(k)).agg(F.max("size").alias(size), F.sum("taken").alias(total), F.count(F.lit(1)).alias(rows))
     per = materialise(spark, per, "chosen")
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.join(per, docs["doc_id"].eqNullSafe(per[i]) & (F.md5(text) == per[k]))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     columns = [f"`{c}`" for c in docs.columns]
-    whole = (F.col(rows) == 1) & (F.col(total) == F.col(size))
-    more = joined.filter(~whole).dropDuplicates([i, k])
-    more = more.withColumn(part, F.explode(F.expr(f"transform(sequence(0L, ({total} - 1) div {size}), t -> least({size}, {total} - t * {size}))")))
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    first = F.when(F.col(part) == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col(part).cast("int")), " "))
-    return joined.filter(whole).select(*columns).unionByName(more.withColumn("text", first).select(*columns))
+
+    def met(decided: DataFrame) -> DataFrame:
+        return docs.join(decided.hint("shuffle_hash"), docs[id_col].eqNullSafe(decided[i]) & (F.md5(text) == decided[k]))
+
+    out = met(per.filter(F.col(rows) == 1))
+    again = per.filter(F.col(rows) > 1)
+    if not again.isEmpty():
+        out = out.unionByName(met(again).dropDuplicates([i, k]))
+    out = out.withColumn(part, F.explode(F.expr(f"transform(sequence(0L, ({total} - 1) div {size}), t -> least({size}, {total} - t * {size}))")))
+    words = F.regexp_extract_all(text_col, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    first = F.when(F.col(part) == F.col(size), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col(part).cast("int")), " "))
+    return out.withColumn(text_col, first).select(*columns)
 
 
 ORACLE_OP4 = r"""
