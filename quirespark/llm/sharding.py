@@ -8,7 +8,9 @@ shard numbers and the weights decides: no state, no shuffle.
 
 Slots number a shard's rows from 0 without gaps. Each shard is cut into ranges
 of a row hash; range counts give each range's first slot and rows are numbered
-inside their range, so no task holds a whole shard.
+inside their range, so no task holds a whole shard. Rows equal in id, CRC and
+size are counted first and take a run of slots, so that a third of all rows
+being equal costs a task one row.
 """
 
 from __future__ import annotations
@@ -43,26 +45,26 @@ def shard_of(key: Column, shards: int | Sequence[float]) -> Column:
     return (-best["j"]).cast("int")
 
 
-def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def place(docs: DataFrame, shards: int | Sequence[float] = SHARDS, id_col: str = "doc_id", text_col: str = "text", new_weight: float = 1.0) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row.
 
-    Size is the text's UTF-8 bytes plus 16; null text has none and the CRC of
-    nothing, 0. Rows of equal doc_id share a shard, null ids too. Slots follow
-    (row hash, doc_id, CRC, size), which reruns repeat; rows equal in all are
-    interchangeable. Extra columns are not read.
+    ``shards`` is their number or their weights; the shard that ``grown_shard``
+    adds has weight ``new_weight``. Size is the text's UTF-8 bytes plus 16; null
+    text has none and the CRC of nothing, 0. Rows of equal doc_id share a shard,
+    null ids too. Slots follow (row hash, doc_id, CRC, size), which reruns
+    repeat; rows equal in all are interchangeable. Very long texts are summed
+    whole. Extra columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(text).cast("long") + 16).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        shard_of(F.col(id_col), shards).alias("shard"),
-        shard_of(F.col(id_col), shards + 1).alias("grown_shard"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    grown = shards + 1 if isinstance(shards, int) and new_weight == 1.0 else [*([1.0] * shards if isinstance(shards, int) else shards), new_weight]
+    rows = rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), grown)})
     rows = rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("r", F.pmod("h", F.lit(RANGES)))
     ahead = Window.partitionBy("shard").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     # at most shards x RANGES rows, whatever the input
-    first = rows.groupBy("shard", "r").agg(F.count(F.lit(1)).alias("n")).select("shard", "r", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "r").orderBy("h", "doc_id", "text_crc32", "size")
-    out = rows.withColumn("k", F.row_number().over(inside) - 1).join(first, ["shard", "r"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("k")).cast("long").alias("slot"), "grown_shard")
+    first = rows.groupBy("shard", "r").agg(F.sum("n").alias("n")).select("shard", "r", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("shard", "r").orderBy("h", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("k", F.sum("n").over(inside) - F.col("n")).join(first, ["shard", "r"])
+    out = out.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda x: x + F.col("first") + F.col("k"))))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -265,6 +265,7 @@ def test_mixing(spark, docs, empty):
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
     key = lambda rs: sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in rs)
     assert key(got) == key(mixing.mix(spark, docs.repartition(7)).collect())
+    assert key(got) == key(mixing.mix(spark, docs, ranges=3, range_rows=2).collect())
     assert mixing.mix(spark, empty).count() == 0
     out = mixing.mixed(spark, docs)
     assert out.columns == docs.columns
@@ -332,6 +333,41 @@ def test_sharding(spark, docs, empty):
     assert sharding.place(empty).count() == 0
 
 
+def plain_shard(key, weights):
+    """The shard of best score, by the public XXH64 over the key's bytes, then the shard's number."""
+    import math
+    import struct
+
+    import xxhash
+
+    seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+    best = None
+    for j, w in enumerate(weights):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", j), seed)
+        if len(set(weights)) == 1:
+            s = h - (1 << 64) if h >> 63 else h
+        elif w > 0:
+            s = -w / math.log(((h >> 11) + 0.5) * 2.0**-53)
+        else:
+            continue
+        if best is None or s > best[0]:
+            best = (s, j)
+    return best[1]
+
+
+def test_shards_against_brute_force(spark):
+    keys = [None, 0, -1, 2**62, *range(1, 300)]
+    docs = spark.createDataFrame([(k, "t", 1) for k in keys for _ in range(1 + (k == 7) * 900)], "doc_id long, text string, shard int")
+    for shards, new, old, grown in ((40, 1.0, [1.0] * 40, [1.0] * 41), ([1, 2, 0, 5], 3.0, [1, 2, 0, 5], [1, 2, 0, 5, 3.0])):
+        got = sharding.place(docs, shards, new_weight=new).collect()
+        want = {k: (plain_shard(k, old), plain_shard(k, grown)) for k in keys}
+        assert len(got) == len(keys) + 900 and all((r["shard"], r["grown_shard"]) == want[r["doc_id"]] for r in got)
+        slots = defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_shards_take_rows_by_weight(spark):
     keys = spark.range(20000)
     n = {r["s"]: r["count"] for r in keys.groupBy(sharding.shard_of(F.col("id"), [1, 2, 0, 5]).alias("s")).count().collect()}
