@@ -82,8 +82,8 @@ def test_simhash_long_lists_lose_no_link(spark):
     df = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
     root = groups_of(len(values), lambda i, j: bin(values[i] ^ values[j]).count("1") <= 4)
     want = Counter(Counter(root).values())
-    for limit in (2, 500):
-        got = components(spark, simhash.links(spark, df, limit))
+    for limit, keys in ((2, simhash.BROADCAST_KEYS), (2, 0), (500, 0)):
+        got = components(spark, simhash.links(spark, df, limit, keys))
         sizes = Counter(r["root"] for r in got.collect())
         assert Counter(sizes.values()) == Counter({k: v for k, v in want.items() if k > 1})
 
@@ -551,5 +551,77 @@ def test_url_filter_reads_every_form_of_link(spark):
     assert [r[0] for r in paths.select(url_filter._without_dots(F.col("p"))).collect()] == ["/a/c", "/x", "/a/", "/a//b", "/"]
 
 
+def plain_verdicts(rows):
+    """(page_id, verdict) by union-find over links resolved with the standard library."""
+    import html as entities
+    from urllib.parse import urljoin
+
+    def node(url):
+        if url is None or "://" not in url:
+            return None
+        host, path = plain_page(url)
+        query = re.search(r"\?([^#]*)", url.split("://", 1)[1])
+        kept = [p for p in (query[1].split("&") if query else []) if p and not re.match(r"(utm_[^=]*|ref|gclid|fbclid|mc_[a-z]+)(=|$)", p)]
+        return host + path.removesuffix("/") + ("?" + "&".join(kept) if kept else "")
+
+    def own(url):
+        host, path = plain_page(url)
+        fits = [(len(r), v) for v, r in url_filter.RULES for h, p in [(r.split("/", 1)[0], "/" + r.split("/", 1)[1])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    home, said = {}, defaultdict(set)
+
+    def find(x):
+        while home.setdefault(x, x) != x:
+            x = home[x]
+        return x
+
+    for _, url, page in rows:
+        if node(url) is not None:
+            said[node(url)].add(own(url))
+            for target in re.findall(r"(?:href=|url=)\"?([^\"\s>]+)", page or ""):
+                target = entities.unescape(target)
+                if target.startswith("#") or re.match("(mailto|data):", target):
+                    continue
+                full = urljoin("http://" + url.split("://", 1)[1], target)
+                said[node(full)].add(own(full))
+                home[find(node(url))] = find(node(full))
+    by_root = defaultdict(set)
+    for n, v in said.items():
+        by_root[find(n)] |= v
+    out = []
+    for i, url, _ in rows:
+        flags = by_root[find(node(url))] if node(url) is not None else set()
+        out.append((i, own(url) or ("allow" if "allow" in flags else "block" if "block" in flags else "allow")))
+    return sorted(out, key=repr)
+
+
+def test_url_filter_against_union_find(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rnd = random.Random(11)
+    hosts = ["a.io", "b.io", "x.example.com", "s.net", "w.org", "go.com"]
+    paths = ["/", "/en/7", "/en/1", "/de/8", "/de/2", "/es/3", "/d/x", "/d/y/z", "/k?p=1", "/k?p=1&utm_a=2", "/q?u=http://b.com/en/9", "/d/e/f?a=1&b=2#t"]
+    url = lambda: f"http://{rnd.choice(hosts)}{rnd.choice(paths)}"
+    forms = [url, lambda: rnd.choice(paths), lambda: "//" + url()[7:], lambda: url().replace("&", "&amp;"), lambda: rnd.choice(["x", "../x", "./y/z", "?p=1", "..", "../../d/y/z", "go?u=http://b.com/en/9", "mailto:a", "#top", "k&#63;p=1", "/go?u=http://b.com/en/9"])]
+    rows = []
+    for i in range(220):
+        page = "<p>"
+        if rnd.random() < 0.35:
+            page += "".join(rnd.choice(['<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">']).format(rnd.choice(forms)()) for _ in range(rnd.randint(1, 2)))
+        rows.append((rnd.choice([i, i, i, None]), rnd.choice([url(), url(), url().replace(".io", f"{i}.io"), None, "none"]) if i else "http://a.io/" + "long" * 5000, page if rnd.random() < 0.9 else None))
+    rows += rows[:5] + [(1000 + i, "http://a.io/d/x", "<p>") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = plain_verdicts(rows)
+    for few, hot in ((url_filter.FEW, url_filter.HOT), (0, 50)):
+        assert rows_of(url_filter.judge(spark, pages, few=few, hot=hot), "page_id", "verdict") == want
+    pages.write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    assert sorted(((r[0], r[4]) for r in con.sql(url_filter.ORACLE_OP10).fetchall()), key=repr) == want
+
+
 def test_passage_fixture():
     assert len(PASSAGE) >= 40
