@@ -48,7 +48,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(_docs(spark, sf_dir))
+    return quality.quality(_docs(spark, sf_dir)).withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
