@@ -21,6 +21,8 @@ SPELLINGS = (
     ("favour", "favor"), ("honour", "honor"), ("judgement", "judgment"), ("merchantib", "merchantab"), ("non-commercial", "noncommercial"), ("non-infring", "noninfring"),
     ("copy-left", "copyleft"), ("fulfil ", "fulfill "), ("while ", "whilst "), ("https://", "http://"), ("&", " and "), ("v\\.? ?([0-9])", "version $1"), ("per cent", "percent"),
 )
+#: rows of a caller's table of digests (64 letters and a name each), which tasks hold as a map
+MOST_KNOWN = 100_000
 #: a word that every known text holds one of
 STEMS = "licen[cs]|permi|public domain|warrant"
 
@@ -146,9 +148,12 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     their number. Null and empty texts match nothing. A text without any of the
     stems that every built-in text holds is not digested. Repeated rows give
     repeated results; extra columns are not read. ``known`` (digest, license)
-    replaces the built-in table and must stay small, as it is broadcast.
+    replaces the built-in table; it is broadcast, so more than ``MOST_KNOWN`` rows
+    are refused. Lines and texts of any length are digested whole.
     """
     table = known_digests(spark) if known is None else known
+    if known is not None and known.limit(MOST_KNOWN + 1).count() > MOST_KNOWN:
+        raise ValueError(f"the table of known digests has more than {MOST_KNOWN} rows")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     # a caller's own texts may hold none of the stems
@@ -167,20 +172,27 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 def _oracle() -> str:
     quote = lambda t: "'" + t.replace("'", "''") + "'"
 
+    mark = r"^[ \t/*#;>-]*(?:portions )?copyright\b[ \t]+"
+    words = HOLDER[HOLDER.index("(?!") + 3 : HOLDER.index(r")\S.*$")]
+
     def canon(x: str) -> str:
         x = f"translate({x}, '{_UPPER}', '{_LOWER}')"
         x = f"regexp_replace({x}, {quote('(?m)' + COPYRIGHT)}, '', 'g')"
+        # no look-ahead here: a holder's line is one that opens so and goes on with none of the words
+        holder = f"regexp_matches(z, {quote(mark + chr(92) + 'S')}) AND NOT regexp_matches(z, {quote(mark + words)})"
+        x = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda z: CASE WHEN {holder} THEN '' ELSE z END), chr(10))"
         for found, spelled in SPELLINGS:
             regular = any(c in found for c in "\\?([")
             x = f"regexp_replace({x}, {quote(found)}, {quote(spelled.replace('$1', chr(92) + '1'))}, 'g')" if regular else f"replace({x}, {quote(found)}, {quote(spelled)})"
         return f"trim(regexp_replace({x}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
 
     known = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in KNOWN)
+    whole = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in WHOLE)
     return f"""
-WITH k AS (SELECT sha256({canon('body')}) AS digest, min(license) AS license FROM (VALUES {known}) v(license, body) GROUP BY 1),
+WITH k AS (SELECT digest, min(license) AS license FROM (SELECT sha256({canon('body')}) AS digest, license FROM (VALUES {known}) v(license, body) UNION ALL SELECT digest, license FROM (VALUES {whole}) v(license, digest)) GROUP BY digest),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, sha256({canon('text')}) AS digest FROM d WHERE regexp_matches(text, '(?i){STEMS}')),
-l AS (SELECT r, n, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d WHERE regexp_matches(text, '(?i){STEMS}')) WHERE length(line) <= 2000 AND regexp_matches(line, '(?i){STEMS}')),
+l AS (SELECT r, n, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d WHERE regexp_matches(text, '(?i){STEMS}')) WHERE regexp_matches(line, '(?i){STEMS}')),
 f AS (SELECT l.r, string_agg(k.license, ',' ORDER BY l.n) AS notices, count(*) AS n_notices FROM (SELECT r, n, sha256({canon('line')}) AS digest FROM l) l JOIN k ON l.digest = k.digest GROUP BY l.r)
 SELECT d.doc_id, k.license, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices FROM d LEFT JOIN w ON d.r = w.r LEFT JOIN k ON w.digest = k.digest LEFT JOIN f ON d.r = f.r
 """
