@@ -11,18 +11,28 @@ _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark, most_bytes: int = BATCH_BYTES) -> None:
-    """Lower the session's Arrow batches to ``most_bytes``: a task holds one on either side of its Python worker."""
-    now = str(spark.conf.get(_BATCH_CONF))
-    if now.endswith("b") and now[:-1].lstrip("-").isdigit() and not 0 < int(now[:-1]) <= most_bytes:
+    """Lower the session's Arrow batches to ``most_bytes``: a task holds one on either side of its Python worker.
+
+    The setting is read when a plan runs, so it stays for the session; it is
+    never raised, and any size that it is written in is understood.
+    """
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(_BATCH_CONF)))
+    if not 0 < now <= most_bytes:
         spark.conf.set(_BATCH_CONF, f"{most_bytes}b")
 
 
 def slices(batches: Iterable, text: int | str, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator:
-    """Slices of record batches with at most ``most_bytes`` of the text column and ``most_rows`` rows; a longer text comes alone."""
+    """Slices of record batches with at most ``most_bytes`` of the text column and ``most_rows`` rows; a longer text comes alone.
+
+    Of a column of lists the elements are counted.
+    """
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
+        column = b.column(text)
+        length = pc.list_value_length if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else pc.binary_length
+        sizes = pc.fill_null(length(column), 0).to_pylist()
         at, held = 0, 0
         for i, n in enumerate(sizes):
             if i > at and (held + n > most_bytes or i - at >= most_rows):

@@ -9,9 +9,10 @@ equals) is found by scanning, its inner boundary deleted and the two
 neighbouring ranks refreshed. That is quadratic in the word's length, so words
 of more than ``SHORT`` symbols take an equivalent heap over linked parts.
 
-Words recur, so each Python worker keeps the encodings of recent words in a
-dictionary of bounded size. A task holds the vocabulary, one batch of rows and
-that dictionary. Texts are encoded whole.
+Words recur, so each Python worker keeps the encodings of recent words in two
+dictionaries of bounded bytes: a full one becomes the elder, whose words are
+looked up and moved back while the younger fills. A task holds the vocabulary,
+one slice of rows and those dictionaries. Texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm._arrow import slices
+from quirespark.llm._arrow import SLICE_BYTES, slices
 
 SHORT = 64
-CACHE_WORDS = 400_000
+#: bytes, about, of the encodings that a worker keeps
+CACHE_BYTES = 128 << 20
 _NONE = 1 << 60
 #: Unicode White_Space, which the normaliser's ``\s`` stands for
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -73,6 +75,8 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.symbols = byte_symbols()
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.elder: dict[str, tuple[int, str, str]] = {}
+        self.held = 0
 
     # -- merging
 
@@ -121,14 +125,18 @@ class WordBpe:
         """(number of tokens, ids joined by a space, tokens joined by a space) of one split word."""
         got = self.cache.get(word)
         if got is None:
-            parts = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
-            parts[-1] += self.end
-            # a symbol outside the vocabulary is dropped, as the file has no unknown token
-            parts = self.merge([p for p in parts if p in self.vocab])
-            got = (len(parts), " ".join(str(self.vocab[p]) for p in parts), " ".join(parts))
+            got = self.elder.get(word)
+            if got is None:
+                parts = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
+                parts[-1] += self.end
+                # a symbol outside the vocabulary is dropped, as the file has no unknown token
+                parts = self.merge([p for p in parts if p in self.vocab])
+                got = (len(parts), " ".join(str(self.vocab[p]) for p in parts), " ".join(parts))
             if len(word) <= SHORT:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
+                # three strings, a tuple and their place in the dictionary
+                self.held += 320 + len(word) + len(got[1]) + len(got[2])
+                if self.held > CACHE_BYTES // 2:
+                    self.cache, self.elder, self.held = {}, self.cache, 0
                 self.cache[word] = got
         return got
 
@@ -171,7 +179,10 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text (null and empty: an empty array)."""
+    """``docs`` with the ids of each whole text (null and empty: an empty array).
+
+    ``docs`` must not have a column ``ids_col``; repeated rows give repeated results.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index(text_col)
 
@@ -195,15 +206,50 @@ def decode(frame: DataFrame, path: str, ids_col: str = "ids", text_col: str = "d
         import pyarrow as pa
 
         bpe = tokenizer(path)
-        for b in (whole.slice(k, 256) for whole in batches for k in range(0, max(whole.num_rows, 1), 256)):
+        for b in slices(batches, at, most_bytes=SLICE_BYTES // 4):
             texts = [None if x.as_py() is None else bpe.decode(x.as_py()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
 
     return frame.mapInArrow(run, f"{schema}, `{text_col}` string")
 
 
+def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``docs`` without the text, with its ids and the text decoded from them, in one pass over each whole text.
+
+    Null and empty texts have no ids and decode to the empty string. Equal to
+    ``decode`` of ``encode``, but the text never returns from the Python worker
+    and one vocabulary serves both. ``docs`` must not have other columns of the
+    two names; repeated rows give repeated results.
+    """
+    rest = [f for f in docs.schema.fields if f.name != text_col]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{ids_col}` array<int>", f"`{decoded_col}` string"])
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        bpe = tokenizer(path)
+        for b in slices(batches, at):
+            ids, texts, ends = [], [], [0]
+            for t in b.column(at):
+                found = [p for p in bpe.pieces(t.as_py() or "") if p[0]]
+                ids += [p[1] for p in found]
+                ends.append(ends[-1] + sum(p[0] for p in found))
+                texts.append(" ".join([p[2] for p in found]).encode("utf-8", "surrogatepass"))
+            flat = np.array(" ".join(ids).split(" "), np.int32) if ids else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            columns = [c for k, c in enumerate(b.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(texts, pa.binary()).cast(pa.string(), safe=False)], names=[*[f.name for f in rest], ids_col, decoded_col])
+
+    return docs.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's whole text; null counts as empty."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's whole text; null counts as empty.
+
+    Repeated rows give repeated results; extra columns are not read.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
