@@ -3,7 +3,9 @@
 Lineage is cut by writing a table into the folder named by
 ``spark.checkpoint.dir`` and reading it back, so that a lost executor costs a
 retry of the reading task and never of the work behind the table. Where the
-setting is absent (tests, a laptop) one temporary folder per session is used.
+setting is absent and all tasks run in this process (tests, a laptop) one
+temporary folder per session is used; on a cluster its absence is an error, as
+other machines would not see such a folder.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="quirespark-")
@@ -61,6 +68,24 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table of ``materialise`` that no later plan reads."""
     path = getattr(df, "_quire_path", None)
     if path:
+        written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+        if path in written:
+            written.remove(path)
+        _delete(spark, path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Delete the tables written inside at the end, but for those given to the function it yields.
+
+    An operator keeps the tables that its result still reads; they last until
+    the caller's own ``passing``, ``discard`` or ``release``.
+    """
+    app = spark.sparkContext.applicationId
+    before, kept = set(_WRITTEN.get(app, [])), set()
+    yield lambda *tables: kept.update(path_of(t) for t in tables)
+    for path in [p for p in _WRITTEN.get(app, []) if p not in before and p not in kept]:
+        _WRITTEN[app].remove(path)
         _delete(spark, path)
 
 

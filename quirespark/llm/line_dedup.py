@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.llm._arrow import slices
-from quirespark.llm._store import materialise, path_of, read_shared, unused
+from quirespark.llm._store import materialise, passing, path_of, read_shared, unused
 
 SPACE = b" \t\n\x0b\x0c\r"
 LEAST_CHARS = 40
@@ -276,7 +276,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least_chars: int = LEAST_C
     largest exists and those rows keep their lines.
     """
     source = docs.withColumn("text", F.col("text").cast("string"))
-    keys = materialise(spark, repeated_keys(spark, source, least_chars, least_docs, memory_bytes), "repeated")
+    with passing(spark) as keep:
+        keys = materialise(spark, repeated_keys(spark, source, least_chars, least_docs, memory_bytes), "repeated")
+        keep(keys)
     size = keys.agg(F.count(F.lit(1)), F.sum(F.octet_length("key"))).first()
     if 300 * size[0] <= memory_bytes and (size[1] or 0) <= memory_bytes:
         return _apply(source, path_of(keys), least_chars, counts)
