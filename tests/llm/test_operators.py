@@ -128,7 +128,7 @@ def test_license_lines_and_odd_rows(spark, docs, empty):
     assert licenses.scan(spark, empty).count() == 0
 
 
-def test_whole_licenses_holders_and_own_tables(spark):
+def test_whole_licenses_holders_and_own_tables(spark, tmp_path):
     mit = next(t for n, t in licenses.KNOWN if n == "MIT")
     read = lambda n: open(f"/usr/share/common-licenses/{n}", encoding="utf-8").read()
     gpl = read("GPL-2")
@@ -136,6 +136,14 @@ def test_whole_licenses_holders_and_own_tables(spark):
     df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(forms)], "doc_id long, text string")
     got = {r["doc_id"]: r["license"] for r in licenses.scan(spark, df).collect()}
     assert [got[k] for k in range(len(forms))] == [n for n, _ in forms]
+    import duckdb
+
+    holders = [(100 + k, t) for k, t in enumerate(["copyright holders and licence: none", "  Copyright   Jane Roe\nReleased under the MIT License.", "# copyright notice\n Licensed under CC BY 4.0.\r", "permission " * 400])]
+    df = df.unionByName(spark.createDataFrame(holders, "doc_id long, text string"))
+    df.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    assert sorted(con.sql(licenses.ORACLE_OP2).fetchall(), key=repr) == rows_of(licenses.scan(spark, df), "doc_id", "license", "notices", "n_notices")
     own = "Do what you like with this. " * 200
     known = spark.createDataFrame([("Own", own)], "license string, body string").select(F.sha2(licenses.canonical(F.col("body")), 256).alias("digest"), "license")
     rows = spark.createDataFrame([(1, own), (2, f"Head\n{own}\nEnd")], "doc_id long, text string")
@@ -252,14 +260,14 @@ def plain_mix(rows):
         took = min(size, left)
         taken[who] += took
         left -= took
-    return [(k[3], k[2], round(target[k[0]], 6)) for k in keyed], sum(taken.values()), total, {n: sum(v for w, v in taken.items() if w[0] == n) for n in names}, target
+    return [(k[3], k[2], round(target[k[0]], 6)) for k in keyed], sum(taken.values()), total, taken, keyed
 
 
 def test_mixing(spark, docs, empty):
     sources = [(("a", "b", None, "Z")[k % 4] if k % 3 else "a") for k in range(len(texts()))]
     rows = list(zip(texts(), sources))
     got = mixing.mix(spark, docs).collect()
-    want, spent, total, by_source, target = plain_mix(rows)
+    want, spent, total, _, _ = plain_mix(rows)
     assert sorted(((r["doc_id"], r["size"], round(r["target"], 6)) for r in got), key=repr) == sorted(want, key=repr)
     assert sum(r["taken"] for r in got) == spent == total
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
@@ -456,13 +464,29 @@ def test_quality_base(docs, empty):
     ("line", "rule"),
     [
         ("THIS!! IS!! ALL!! VERY!! LOUD!! AND!! RATHER!! LONG!!", "punctuation"), ("Home | News | Sport | Weather | Shop | Earth", "navigation"), ("a%%% b&&& c### d*** e$$$ f%%% g&&& h###", "symbols"),
-        ("EVERY WORD OF THIS LINE IS WRITTEN IN CAPITALS", "shouting"), ("We use cookies to make this site better.", "boilerplate"), ("A plain sentence of prose, with a stop at its end.", None), ("SHORT HEADING", None), ("", None), ("中文 без ALL CAPS here, just some text.", None),
+        ("EVERY WORD OF THIS LINE IS WRITTEN IN CAPITALS", "shouting"), ("We use cookies to make this site better.", "boilerplate"), ("A plain sentence of prose, with a stop at its end.", None), ("SHORT HEADING", None), ("Home | News | Shop", "navigation"), ("## A heading", None), ("either / or", None), ("Stop!! Now!!", None), ("BUY!! NOW!! ALL!! OF!! IT", "punctuation"), ("w1 " * 27 + "privacy policy here", "boilerplate"), ("w1 " * 40 + "privacy policy", None), ("", None), ("中文 без ALL CAPS here, just some text.", None),
     ],
 )
 def test_line_rules(line, rule):
     assert quality.line_fails(line) == rule
 
 
+def test_quality_sql_and_cleaned_texts(spark, docs, tmp_path):
+    import duckdb
+
+    junk = ["Home | News | Shop", "We use cookies.", "Twice here.", "Twice here.", "", "  ", "MANY CAPITAL LETTERS IN THIS LINE OF EIGHT WORDS", "A line of prose."]
+    more = spark.createDataFrame([(900 + k, "\n".join(junk[k:] + [f"word{i} of prose {i}" for i in range(k * 20)])) for k in range(8)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(more)
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    rel = con.sql(quality.ORACLE_OP8)
+    got = quality.quality(docs).withColumn("clean_sha256", F.sha2("clean_text", 256)).select(*rel.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rel.fetchall(), key=repr)
+    cleaned = {r["doc_id"]: r["clean_text"] for r in quality.quality(more).collect()}
+    assert cleaned[900] == "Twice here.\n\n  \nA line of prose."
+
+
 def test_quality_agrees_with_labels(spark):
     d = "/root/testdata/sf0.01"
     got = quality.quality(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed")
