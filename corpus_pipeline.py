@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from quirespark.llm import bpe, line_dedup, mixing, quality, simhash
 from quirespark.llm._arrow import bound_batches
-from quirespark.llm._store import materialise, unused
+from quirespark.llm._store import discard, materialise, passing, unused
 
-#: BPE and SimHash have no SQL form; tests hold run() against a brute-force version.
+#: BPE and SimHash have no SQL form; tests hold run() against a brute-force version of all five stages.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-first rules keep, without their failing lines; n_chars follows the text."""
     bound_batches(spark)
-    return quality.keep_good(docs, clean=True, chars_col="n_chars" if "n_chars" in docs.columns else None)
+    return quality.keep_good(docs, chars_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     bound_batches(spark)
     path = bpe.vocabulary_path()
     ids, decoded = unused(docs, "ids", "decoded")
-    return bpe.decode(bpe.encode(docs, path, ids_col=ids).drop("text"), path, ids, decoded)
+    return bpe.encode_decode(docs, path, ids_col=ids, decoded_col=decoded)
 
 
 STAGES = [
@@ -58,9 +58,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's table is deleted once the next one has read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(spark, docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        with passing(spark) as keep:
+            after = materialise(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep(after)
+        discard(spark, docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
