@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from quirespark.llm._arrow import slices
 from quirespark.llm._components import components
 from quirespark.llm._lookup import look_up
-from quirespark.llm._store import materialise, unused
+from quirespark.llm._store import materialise, passing, unused
 
 SPACE = b" \t\n\x0b\x0c\r"
 MOST_BITS = 4
 SHINGLE = 4
 LIST_LIMIT = 128
-#: lists' keys (a long each) are broadcast up to this many, else joined by a shuffle
-BROADCAST_KEYS = 2_000_000
+#: lists' keys (a long each) that are broadcast; where more are asked for, all postings but a few are taken
+BROADCAST_KEYS = 200_000
 #: rows (id and digest) of near_dedup's decisions that are broadcast, else joined by a shuffle
 BROADCAST_ROWS = 500_000
 _BYTES = 8
@@ -135,12 +135,7 @@ def _split(lists: DataFrame, level: int) -> DataFrame:
     return lists.select("fp", F.explode(F.transform(mine, keyed)).alias("key"))
 
 
-def _held_by(posted: DataFrame, keys: DataFrame, many: int) -> DataFrame:
-    """The postings of the lists ``keys``, which are broadcast if they are few."""
-    return posted.join(F.broadcast(keys) if many <= BROADCAST_KEYS else keys, "key", "left_semi")
-
-
-def links(spark: SparkSession, values: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+def links(spark: SparkSession, values: DataFrame, list_limit: int = LIST_LIMIT, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Links (a, b) of a graph on distinct ``fp`` with the components of "at most four bits apart".
 
     At each level lists are counted by key alone, partial counts first; only
@@ -159,13 +154,21 @@ def links(spark: SparkSession, values: DataFrame, list_limit: int = LIST_LIMIT)
         n_long = long_.count()
         n_short = counts.count() - n_long
         if n_short:
-            gathered = _held_by(posted, short, n_short).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+            # a join with many keys would shuffle every posting, as gathering them does; single ones then pair with none
+            if n_short <= broadcast_keys:
+                some = posted.join(F.broadcast(short), "key", "left_semi")
+            elif n_long:
+                some = posted.join(F.broadcast(long_) if n_long <= broadcast_keys else long_, "key", "left_anti")
+            else:
+                some = posted
+            gathered = some.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
             found = found.unionByName(materialise(spark, _pairs_within(gathered).distinct(), "near-pairs"))
         if not n_long:
             return found.distinct()
-        lists = _held_by(posted, long_, n_long)
-        if n_long > BROADCAST_KEYS:
-            lists = materialise(spark, lists, "long-lists")
+        # splitting a list that is not long costs postings and loses nothing, so many long ones take the rest along
+        lists = posted.join(F.broadcast(long_), "key", "left_semi") if n_long <= broadcast_keys else posted
+    if n_long > broadcast_keys:
+        lists = posted.join(long_, "key", "left_semi")
     dense = lists.select("fp").distinct()
     near = dense.select("fp", F.explode(F.transform(F.array(*[F.lit(f) for f in FLIPS]), lambda m: F.col("fp").bitwiseXOR(m))).alias("near"))
     chained = near.select("near", F.col("fp").alias("a"), F.lag("fp").over(Window.partitionBy("near").orderBy("fp")).alias("b")).filter(F.col("b").isNotNull())
@@ -179,15 +182,17 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     null id take part; their component is the least non-null id, else null.
     Repeated rows give repeated results; extra columns are not read.
     """
-    prints = materialise(spark, fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = materialise(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")), "distinct-fingerprints")
-    roots = components(spark, links(spark, reps.select("fp"), list_limit))
-    linked = materialise(spark, roots.join(reps, roots["node"] == reps["fp"]).select("fp", "root", "least"), "linked")
-    best = materialise(spark, linked.groupBy("root").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("held")), "roots")
-    moved = look_up(linked, best, "root", "held").select("fp", "best")
-    # a fingerprint of one row that nothing links needs no answer
-    answers = reps.join(moved, "fp", "left").filter("held > 1 or best is not null").select("fp", F.coalesce("best", "least").alias("of_print"), "held")
-    answers = materialise(spark, answers, "components")
+    with passing(spark) as keep:
+        prints = materialise(spark, fingerprints(docs, id_col, text_col), "fingerprints")
+        reps = materialise(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")), "distinct-fingerprints")
+        roots = components(spark, links(spark, reps.select("fp"), list_limit))
+        linked = materialise(spark, roots.join(reps, roots["node"] == reps["fp"]).select("fp", "root", "least"), "linked")
+        best = materialise(spark, linked.groupBy("root").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("held")), "roots")
+        moved = look_up(linked, best, "root", "held").select("fp", "best")
+        # a fingerprint of one row that nothing links needs no answer
+        answers = reps.join(moved, "fp", "left").filter("held > 1 or best is not null").select("fp", F.coalesce("best", "least").alias("of_print"), "held")
+        answers = materialise(spark, answers, "components")
+        keep(prints, answers)
     return look_up(prints, answers, "fp", "held").select("doc_id", "fp", "text_key", F.coalesce("of_print", "doc_id").alias("component_id"))
 
 
@@ -203,16 +208,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     but for rows that repeat both.
     """
     key = F.struct(F.col("doc_id").alias("i"), F.col("text_key").alias("k"))
-    groups = near_groups(spark, docs, id_col, text_col)
-    # groups without any id are told apart by their fingerprint
-    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
-    per = materialise(spark, groups.groupBy("component_id", alone.alias("lone"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "members")
-    best = per.groupBy("component_id", "lone").agg(F.min_by(key, key).alias("best")).select(F.col("component_id").alias("c"), F.col("lone").alias("l"), "best")
-    same = per["component_id"].eqNullSafe(best["c"]) & per["lone"].eqNullSafe(best["l"])
-    is_best = F.col("doc_id").eqNullSafe(F.col("best.i")) & (F.col("text_key") == F.col("best.k"))
-    i, k, n = unused(docs, "near_id", "near_key", "near_rows")
-    marked = per.join(best, same).filter(~is_best | (F.col("n") > 1))
-    marked = materialise(spark, marked.select(F.col("doc_id").alias(i), F.col("text_key").alias(k), F.when(is_best, F.col("n")).otherwise(0).alias(n)), "marked")
+    with passing(spark) as keep:
+        groups = near_groups(spark, docs, id_col, text_col)
+        # groups without any id are told apart by their fingerprint
+        alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+        per = materialise(spark, groups.groupBy("component_id", alone.alias("lone"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "members")
+        best = per.groupBy("component_id", "lone").agg(F.min_by(key, key).alias("best")).select(F.col("component_id").alias("c"), F.col("lone").alias("l"), "best")
+        same = per["component_id"].eqNullSafe(best["c"]) & per["lone"].eqNullSafe(best["l"])
+        is_best = F.col("doc_id").eqNullSafe(F.col("best.i")) & (F.col("text_key") == F.col("best.k"))
+        i, k, n = unused(docs, "near_id", "near_key", "near_rows")
+        marked = per.join(best, same).filter(~is_best | (F.col("n") > 1))
+        marked = materialise(spark, marked.select(F.col("doc_id").alias(i), F.col("text_key").alias(k), F.when(is_best, F.col("n")).otherwise(0).alias(n)), "marked")
+        keep(marked)
     # what goes, and what stays but repeats, is a small part: whole texts move only if it outgrows a broadcast
     few = marked.count() <= BROADCAST_ROWS
     on = lambda m: docs[id_col].eqNullSafe(m[i]) & (F.xxhash64(docs[text_col]) == m[k])
