@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirespark.plans import box_queries, page_queries, text_queries
+from quirespark.plans import box_queries, fold_sql, page_queries, text_queries, text_sql
 
 
 def _modules():
@@ -14,4 +14,4 @@ def queries():
 
 
 def oracle_sql():
-    return {k: v for m in _modules() for k, v in m.SQL.items()}
+    return {k: v for m in (*_modules(), fold_sql, text_sql) for k, v in m.SQL.items()}
