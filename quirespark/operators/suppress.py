@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirespark.functions import text as T
 from quirespark.operators import paged
 from quirespark.operators.paged import Rows, kinds_of
 
@@ -225,6 +226,7 @@ def dedup_sections(lines: DataFrame, keys: Sequence[str] = ("doc_id",), pos: str
     """Lines without later repeats of a ``**Header**`` line of the same document."""
     from pyspark.sql import Window
 
-    head = F.trim(F.col(text)).rlike(r"^\*\*.+\*\*$")
-    w = Window.partitionBy(*keys, F.when(head, F.trim(F.col(text)))).orderBy(pos)
+    bare = T.strip(F.col(text))
+    head = bare.rlike(r"^\*\*.+\*\*$")
+    w = Window.partitionBy(*keys, F.when(head, bare)).orderBy(pos)
     return lines.withColumn("__n", F.when(head, F.row_number().over(w)).otherwise(1)).filter("__n = 1").drop("__n")

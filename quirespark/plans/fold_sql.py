@@ -97,3 +97,15 @@ SQL["ratio_splits"] = f"""WITH b AS (SELECT item_id, text, length(text) AS n FRO
 g AS (SELECT *, {_SPLIT('n', '0.3::DOUBLE', 'f1')} AS e2 FROM d), h AS (SELECT *, {_BACK('e2', 'f1')} AS f2 FROM g),
 p AS (SELECT item_id, unnest([text[1:f1], text[f1 + 1:f2], text[f2 + 1:]]) AS text, unnest([0, 1, 2]) AS part FROM h)
 SELECT item_id, CAST(part AS INTEGER) AS part, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM p"""
+
+# a region is cut along x, each part along y; a part that y does not cut is a leaf, others are regions again
+_STRETCH = lambda lo, hi, part, order: f"CASE WHEN {lo} - max({hi}) OVER (PARTITION BY {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 1 THEN 0 ELSE 1 END"
+SQL["xycut_order"] = f"""WITH RECURSIVE {BOXES}, w AS (SELECT doc_id, idx, CAST(trunc(x1) AS INTEGER) AS x1, CAST(trunc(y1) AS INTEGER) AS y1, CAST(trunc(x2) AS INTEGER) AS x2, CAST(trunc(y2) AS INTEGER) AS y2 FROM boxes),
+r AS (SELECT *, CAST([] AS BIGINT[]) AS path, false AS leaf FROM w
+  UNION ALL SELECT doc_id, idx, x1, y1, x2, y2, list_append(list_append(path, s1), s2), max(s2) OVER (PARTITION BY doc_id, path, s1) = 1 FROM (
+    SELECT *, CAST(sum(new2) OVER (PARTITION BY doc_id, path, s1 ORDER BY {{B}}1, {{A}}1, idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s2 FROM (
+      SELECT *, {_STRETCH('{B}1', '{B}2', 'doc_id, path, s1', '{B}1, {A}1, idx')} AS new2 FROM (
+        SELECT *, CAST(sum(new1) OVER (PARTITION BY doc_id, path ORDER BY {{A}}1, {{B}}1, idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s1 FROM (
+          SELECT *, {_STRETCH('{A}1', '{A}2', 'doc_id, path', '{A}1, {B}1, idx')} AS new1 FROM r WHERE NOT leaf))))),
+e AS (SELECT * FROM r WHERE leaf)
+SELECT doc_id, idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, {{B}}1, {{A}}1, idx) - 1 AS INTEGER) AS rank FROM e""".replace("{A}", "y").replace("{B}", "x")

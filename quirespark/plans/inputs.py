@@ -26,7 +26,7 @@ BOXES = f"""boxes AS (
   FROM lineitem)"""
 
 LOGITS = """steps AS (
-  SELECT vec_id // 10 AS seq, CAST(vec_id % 10 AS INTEGER) AS t, list_transform(list_slice(embedding, 1, 8), lambda v: CAST(v AS DOUBLE)) AS scores FROM embeddings)"""
+  SELECT vec_id // 10 AS seq, CAST(vec_id % 10 AS INTEGER) AS t, list_transform(range(0, 8), lambda c: list_max(list_transform(range(c, len(embedding), 8), lambda d: CAST(embedding[d + 1] AS DOUBLE)))) AS scores FROM embeddings)"""
 
 HYPHENS = """texts AS (SELECT doc_id, replace(coalesce(text, ''), ' the ', '-' || chr(10) || 'the ') AS text FROM documents)"""
 
@@ -55,9 +55,9 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, t, scores: ten steps of eight class scores a sequence."""
+    """seq, t, scores: ten steps of eight class scores a sequence, each the largest of every eighth dimension."""
     return table(spark, sf_dir, "embeddings").select(
-        F.expr("vec_id div 10").alias("seq"), (F.col("vec_id") % 10).cast("int").alias("t"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("scores")
+        F.expr("vec_id div 10").alias("seq"), (F.col("vec_id") % 10).cast("int").alias("t"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.array_max(F.filter("embedding", lambda v, i: i % 8 == c)).cast("double")).alias("scores")
     )
 
 

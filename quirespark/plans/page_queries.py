@@ -124,7 +124,7 @@ def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections and text boxes to ordered elements and Markdown."""
     t, c, r = _table_rows(spark, sf_dir)
     d = boxes(spark, sf_dir).select("doc_id", F.lit(0).alias("page_idx"), "idx", "label", "score", "x1", "y1", "x2", "y2")
-    return pipelines.structure(d.filter("idx % 3 = 0"), r.filter("region_idx % 3 <> 0"), t, c)["markdown"].select("doc_id", "markdown")
+    return pipelines.structure(d, r, t, c)["markdown"].select("doc_id", "markdown")
 
 
 class Painter:

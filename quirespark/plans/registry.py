@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quirespark.plans import box_queries, fold_sql, page_queries, text_queries, text_sql
+from quirespark.plans import box_queries, fold_sql, more_queries, page_queries, text_queries, text_sql
 
 
 def _modules():
-    return (box_queries, text_queries, page_queries)
+    return (box_queries, text_queries, page_queries, more_queries)
 
 
 def queries():

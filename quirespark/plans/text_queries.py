@@ -17,13 +17,11 @@ SQL: dict[str, str] = {}
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean-up by replacement on texts with line-break hyphens."""
     t = F.col("text")
-    return hyphened(spark, sf_dir).select("doc_id", T.clean_ocr(t).alias("cleaned"), T.text_block(t).alias("block"), T.content_block(t).alias("content"), T.escape_html(F.substring(t, 1, 200)).alias("escaped"), T.centered(F.substring(t, 1, 80)).alias("centered"))
+    return hyphened(spark, sf_dir).select("doc_id", T.clean_ocr(t).alias("cleaned"), T.text_block(t).alias("block"), T.content_block(t).alias("content"))
 
 
 SQL["text_blocks"] = f"""WITH {HYPHENS} SELECT doc_id, replace(replace(text, '-' || chr(10), ''), chr(10), ' ') AS cleaned, replace(replace(replace(text, '-' || chr(10), ''), chr(10) || chr(10), chr(10)), chr(10), chr(10) || chr(10)) AS block,
-  replace(replace(text, '-' || chr(10), '  ' || chr(10)), chr(10), '  ' || chr(10)) AS content,
-  replace(replace(replace(replace(replace(substring(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped,
-  '<div style="text-align: center;">' || replace(replace(substring(text, 1, 80), '-' || chr(10), ''), chr(10), ' ') || '</div>' || chr(10) AS centered FROM texts"""
+  replace(replace(text, '-' || chr(10), '  ' || chr(10)), chr(10), '  ' || chr(10)) AS content FROM texts"""
 
 
 def text_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,26 +233,18 @@ def ratio_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vl_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("1.2"), F.substring("text", 1, 30)).alias("title"))
-    return src.select("item_id", T.as_udf(T.vl_title)("title").alias("title"))
-
-
-SQL["vl_titles"] = r"""WITH s AS (SELECT item_id, substring(text, 1, 30) AS b FROM benchmark), t AS (SELECT item_id, CASE WHEN contains(b, chr(10)) THEN '1.2' || b ELSE '1.2 ' || regexp_replace(b, '^\s+', '') END AS t FROM s), r AS (SELECT item_id, rtrim(t, '.') AS t FROM t)
-SELECT item_id, replace(replace(repeat('#', CAST(length(t) - length(replace(t, '.', '')) + 2 AS INTEGER)) || ' ' || t, '-' || chr(10), ''), chr(10), ' ') AS title FROM r"""
-
-
-def vl_titles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As vl_titles, on whole texts."""
+    """Numbered titles of whole texts."""
     src = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("1.2"), "text").alias("title"))
     return src.select("item_id", T.as_udf(T.vl_title)("title").alias("title"))
 
 
-SQL["vl_titles_whole"] = SQL["vl_titles"].replace("substring(text, 1, 30)", "text")
+SQL["vl_titles"] = r"""WITH s AS (SELECT item_id, text AS b FROM benchmark), t AS (SELECT item_id, CASE WHEN contains(b, chr(10)) THEN '1.2' || b ELSE '1.2 ' || regexp_replace(b, '^\s+', '') END AS t FROM s), r AS (SELECT item_id, rtrim(t, '.') AS t FROM t)
+SELECT item_id, replace(replace(repeat('#', CAST(length(t) - length(replace(t, '.', '')) + 2 AS INTEGER)) || ' ' || t, '-' || chr(10), ''), chr(10), ' ') AS title FROM r"""
 
 QUERIES = {
     f.__name__: f
     for f in (
         text_blocks, text_markup, text_spacing, section_titles, tiny_symbols, orientation_labels, argmax_steps, ctc_decode, base_decode, top_classes, compact_rows, banned_tokens, char_boxes, postprocess_lines, postprocess_markdown, parsed_text, truncated_text, tail_cut_text,
-        latex_text, reversed_text, table_otsl, table_formats, table_grids, layout_lines, ratio_splits, vl_titles, vl_titles_whole,
+        latex_text, reversed_text, table_otsl, table_formats, table_grids, layout_lines, ratio_splits, vl_titles,
     )
 }

