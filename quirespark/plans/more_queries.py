@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -15,6 +14,7 @@ from quirespark.functions import sequences as S
 from quirespark.functions import text as T
 from quirespark.functions.geometry import Box
 from quirespark.operators import models, suppress, tables, windows
+from quirespark.operators.settle import shared_folder
 from quirespark.plans import pipelines, text_sql
 from quirespark.plans.inputs import BOXES, HYPHENS, LOGITS, boxes, hyphened, logits, sides, table
 from quirespark.plans.page_queries import Painter, _painted
@@ -251,10 +251,7 @@ SELECT doc_id, (40 + k) || 'x10' AS bar, 0.0::DOUBLE AS bar_mean, '105x20' AS tu
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that all tasks see, as a plain path."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        named = tempfile.mkdtemp(prefix="quirespark-files-")
-    return f"{named.removeprefix('file://').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).removeprefix('file://')}/{name}-{uuid.uuid4().hex}"
 
 
 def _written_pages(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Composite pipelines: pages to text, pages to structure, layout-first parsing, and their renderings.
 
-Each takes model adapters by factory and is one lazy plan: Python runs at the
-model boundary and for order-dependent folds, everything between is relational.
+Each takes model adapters by factory: Python runs at the model boundary and for
+order-dependent folds, everything between is relational. What a model or a fold
+gave and several later steps read is settled, so that no page meets a model twice.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from quirespark.functions import sequences as S
 from quirespark.functions import text as T
 from quirespark.functions.geometry import Box
 from quirespark.operators import clusters, joins, lines, models, reading_order, render, suppress, tables, windows
+from quirespark.operators.settle import settled
 from quirespark.sources.images import crops
 
 PAGE = ["doc_id", "page_idx"]
@@ -30,6 +32,7 @@ def oriented(pages: DataFrame, classifier: Factory | None) -> DataFrame:
     said = models.run_task(pages, "document_orientation", classifier, PAGE)
     angle = said.select(*PAGE, F.coalesce(E.orientation_angle(F.col("label")), F.lit(0.0)).alias("orientation_angle"))
     out = pages.join(angle, PAGE, "left")
+    out = settled(out, "oriented")
     turn = _turned(out.select(*PAGE, "content", "orientation_angle"))
     return out.drop("content").join(turn, PAGE)
 
@@ -54,7 +57,7 @@ def ocr(pages: DataFrame, detector: Factory, recogniser: Factory, classifier: Fa
     up = oriented(pages, classifier)
     found = models.run_task(up, "text_detection", detector, PAGE).filter("error is null").withColumnRenamed("item", "idx").drop("error")
     ranked = reading_order.poly_order(found) if seal else reading_order.order_pages(found, "quad")
-    boxes = ranked.drop("idx").withColumnRenamed("rank", "idx")
+    boxes = settled(ranked.drop("idx").withColumnRenamed("rank", "idx"), "text-boxes")
     parts = crops(up, boxes)
     read = models.pooled_recognition(parts, recogniser, [*PAGE, "idx"], threshold=threshold)
     joined = boxes.join(read.withColumnRenamed("score", "confidence"), [*PAGE, "idx"], "left").join(up.select(*PAGE, "orientation_angle", "width", "height"), PAGE)
@@ -79,7 +82,7 @@ def refined(regions: DataFrame, elements: DataFrame, pages: DataFrame, recognise
     cut = parts.select(*PAGE, F.col("idx").alias("of"), F.posexplode(F.filter("ps", lambda p: p["part"].isNotNull())).alias("n", "p")).select(*PAGE, "of", "n", "p.part.*")
     jobs = cut.withColumn("idx", F.struct("of", "n"))
     read = models.pooled_recognition(crops(pages, jobs.select(*PAGE, "idx", "x1", "y1", "x2", "y2")), recogniser, [*PAGE, "idx"])
-    good = jobs.join(read.select(*PAGE, "idx", F.col("text").alias("new_text"), F.col("score").alias("new_score")), [*PAGE, "idx"]).filter("new_text != ''")
+    good = settled(jobs.join(read.select(*PAGE, "idx", F.col("text").alias("new_text"), F.col("score").alias("new_score")), [*PAGE, "idx"]).filter("new_text != ''"), "read-parts")
     like = good.select(*PAGE, "of", *(F.col(c).alias("c_" + c) for c in ("x1", "y1", "x2", "y2")))
     twins = r.join(like, PAGE).filter((F.col("idx") != F.col("of")) & (G.iou(Box.of(), Box.of("c_")) > 0.8)).select(*PAGE, F.col("idx").alias("region_idx")).distinct()
     split = good.select(*PAGE, F.col("of").alias("region_idx")).distinct()
@@ -89,7 +92,7 @@ def refined(regions: DataFrame, elements: DataFrame, pages: DataFrame, recognise
     top = regions.groupBy(*PAGE).agg(F.max("region_idx").alias("__top"))
     kind = regions.schema["region_idx"].dataType
     fresh = good.join(top, PAGE).select(*PAGE, F.when(F.col("n") == 0, F.col("of")).otherwise(F.col("__top") + 1 + F.col("of") * 1000 + F.col("n")).cast(kind).alias("region_idx"), "x1", "y1", "x2", "y2", F.col("new_text").alias("text"), F.col("new_score").alias("confidence"), F.lit(None).cast("string").alias("label"))
-    now = stay.unionByName(fresh)
+    now = settled(stay.unionByName(fresh), "refined")
     plain = blocks.filter(~F.col("kind").isin("image", "chart")).withColumnRenamed("b_idx", "idx")
     empty = joins.associate(plain, now.filter("text != ''"), within=False)
     whole = models.pooled_recognition(crops(pages, empty), recogniser, [*PAGE, "idx"]).filter("text != ''")
@@ -112,7 +115,7 @@ def split_by_cells(regions: DataFrame, cells: DataFrame, pages: DataFrame, recog
 
     parts = paged.per_page(packed, run, f"of {regions.schema['region_idx'].dataType.simpleString()}, n int, x1 double, y1 double, x2 double, y2 double", PAGE).withColumn("idx", F.struct("of", "n"))
     read = models.pooled_recognition(crops(pages, parts.select(*PAGE, "idx", "x1", "y1", "x2", "y2")), recogniser, [*PAGE, "idx"])
-    good = parts.join(read.select(*PAGE, "idx", "text", F.col("score").alias("confidence")), [*PAGE, "idx"]).filter("text != ''")
+    good = settled(parts.join(read.select(*PAGE, "idx", "text", F.col("score").alias("confidence")), [*PAGE, "idx"]).filter("text != ''"), "read-pieces")
     columns = [*PAGE, "region_idx", "x1", "y1", "x2", "y2", "text", "confidence", "label"]
     stay = regions.join(good.select(*PAGE, F.col("of").alias("region_idx")).distinct(), [*PAGE, "region_idx"], "left_anti").select(*columns)
     kind = regions.schema["region_idx"].dataType
@@ -143,6 +146,8 @@ def analysed_tables(elements: DataFrame, pages: DataFrame, structure: Factory, c
     """
     asks = elements.filter(F.col("kind") == "table").select(*PAGE, "idx", "x1", "y1", "x2", "y2")
     parts = crops(pages, asks)
+    if classifier is not None or detector is not None:
+        parts = settled(parts, "table-crops")
     key = [*PAGE, "idx"]
     read = models.run_task(parts, "table_structure", structure, key).filter("error is null")
     out = asks.join(read.select(*key, "tokens", "boxes", F.col("score").alias("structure_confidence")), key)
@@ -151,6 +156,7 @@ def analysed_tables(elements: DataFrame, pages: DataFrame, structure: Factory, c
         out = out.join(said.select(*key, E.table_type(F.col("label")).alias("table_type"), F.col("score").alias("classification_confidence")), key, "left")
     else:
         out = out.withColumn("table_type", F.lit("unknown")).withColumn("classification_confidence", F.lit(None).cast("double"))
+    out = settled(out, "table-tokens")
     placed = out.withColumn("grid", tables.token_grid(F.col("tokens"))).select(*PAGE, "idx", F.floor("x1").alias("dx"), F.floor("y1").alias("dy"), F.posexplode(F.arrays_zip("boxes", "grid")).alias("cell_idx", "c"))
     box = G.box_from_coords(F.col("c.boxes"))
     moved = G.translate(Box.at(box), F.col("dx"), F.col("dy"))
@@ -171,11 +177,11 @@ def analysed_tables(elements: DataFrame, pages: DataFrame, structure: Factory, c
 def overall_ocr(pages: DataFrame, elements: DataFrame, detector: Factory, recogniser: Factory) -> DataFrame:
     """Text regions of pages under a known layout: detect, part by blocks, order, read, refine."""
     found = models.run_task(pages, "text_detection", detector, PAGE).filter("error is null").select(*PAGE, F.col("item").alias("idx"), "x1", "y1", "x2", "y2")
-    parts = joins.split_by_blocks(found, elements.filter(E.should_ocr(F.col("kind"))))
-    ordered = reading_order.order_pages(parts, "quad").drop("idx").withColumnRenamed("rank", "idx")
+    parts = joins.split_by_blocks(settled(found, "text-boxes"), elements.filter(E.should_ocr(F.col("kind"))))
+    ordered = settled(reading_order.order_pages(parts, "quad").drop("idx").withColumnRenamed("rank", "idx"), "ordered-boxes")
     read = models.pooled_recognition(crops(pages, ordered), recogniser, [*PAGE, "idx"])
     regions = ordered.join(read.select(*PAGE, "idx", "text", F.col("score").alias("confidence")), [*PAGE, "idx"], "left").withColumnRenamed("idx", "region_idx").withColumn("label", F.lit(None).cast("string"))
-    return refined(regions, elements, pages, recogniser)
+    return refined(settled(regions, "regions"), elements, pages, recogniser)
 
 
 def structure_elements(detections: DataFrame, how: str = "enhanced") -> DataFrame:
@@ -193,27 +199,27 @@ def structure(detections: DataFrame, regions: DataFrame, table_rows: DataFrame |
     and small ones clear, elements take what overlaps, seals shadow, and what
     remains becomes elements of its own before everything is ordered and numbered.
     """
-    base = structure_elements(detections).drop("rank")
+    base = settled(structure_elements(detections).drop("rank"), "elements")
     elements = base.select(*PAGE, "idx", "kind", "label", F.col("score").alias("confidence"), "x1", "y1", "x2", "y2", F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("seg_start_x"), F.lit(None).cast("double").alias("seg_end_x"), "num_lines")
-    filled = tables.stitch_tables(table_rows, cells, regions, formulas) if table_rows is not None and cells is not None else None
+    filled = settled(tables.stitch_tables(table_rows, cells, regions, formulas), "tables") if table_rows is not None and cells is not None else None
     used = regions.select(*PAGE, F.col("region_idx").alias("idx")).limit(0)
     if filled is not None:
         used = used.unionByName(filled.select(*PAGE, F.explode("used_regions").alias("idx")))
     if formulas is not None:
         elements = joins.fill_formulas(elements, formulas.withColumnRenamed("formula_idx", "idx"))
-        elements = joins.clear_inline_formulas(elements)
+        elements = settled(joins.clear_inline_formulas(elements), "formulas")
     stitched = lines.stitch_elements(elements, regions, formulas is not None)
     r = regions.withColumnRenamed("region_idx", "idx")
     takers = elements.filter(~F.col("kind").isin("table", *(["formula"] if formulas is not None else [])))
     used = used.unionByName(joins.associate(r, takers).select(*PAGE, "idx"))
-    orphans = joins.orphan_regions(r, used.distinct(), elements)
+    orphans = joins.orphan_regions(r, settled(used.distinct(), "used"), elements)
     top = elements.groupBy(*PAGE).agg(F.max("idx").alias("__top"))
     extra = orphans.join(top, PAGE, "left").select(
         *PAGE, (F.coalesce("__top", F.lit(-1)) + 1 + F.col("idx")).cast(elements.schema["idx"].dataType).alias("idx"), F.when(E.is_formula_region(F.col("label")), "formula").otherwise("text").alias("kind"), F.lit(None).cast("string").alias("label"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "x1", "y1", "x2", "y2", "text", F.lit(None).cast("double").alias("seg_start_x"), F.lit(None).cast("double").alias("seg_end_x"), F.lit(None).cast("int").alias("num_lines"),
     )
     everything = reading_order.order_pages(stitched.unionByName(extra), "enhanced")
-    numbered = windows.order_indices(everything)
+    numbered = settled(windows.order_indices(everything), "numbered")
     done = filled.join(table_rows.select(*PAGE, "table_idx", "x1", "y1", "x2", "y2"), [*PAGE, "table_idx"]) if filled is not None else None
     levels = clusters.title_levels(numbered)
     out = {"elements": numbered, "markdown": render.page_markdown(numbered, done, levels), "html": render.page_html(numbered, done)}
@@ -229,7 +235,9 @@ def parse_layout(detections: DataFrame, pages: DataFrame, recogniser: Factory, p
     blank = pages.join(kept.select(*PAGE).distinct(), PAGE, "left_anti").select(*PAGE, F.lit(0).alias("idx"), F.lit("text").alias("label"), F.lit(1.0).alias("score"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("width").cast("double").alias("x2"), F.col("height").cast("double").alias("y2"))
     blocks = kept.select(*PAGE, F.col("idx").cast("int").alias("idx"), "label", "score", "x1", "y1", "x2", "y2").unionByName(blank)
     typed = blocks.withColumn("kind", E.type_of(F.col("label"))).filter(~E.is_auxiliary(F.col("kind")))
+    typed = settled(typed, "blocks")
     jobs = crops(pages, typed).join(typed.select(*PAGE, "idx", E.recognition_task(F.col("kind")).alias("task")), [*PAGE, "idx"]).filter("task is not null")
+    jobs = settled(jobs, "block-crops")
     read = models.keyed_recognition(jobs, recogniser, [*PAGE, "idx"]).join(jobs.select(*PAGE, "idx", "task"), [*PAGE, "idx"])
     body = F.when(F.col("task") == "table", T.as_udf(S.otsl_to_html)(F.col("text"))).when(F.col("task") == "formula", T.formula_block(F.col("text"))).otherwise(T.as_udf(lambda t: T.format_text(T.truncate_repeats(t)))(F.col("text")))
     texts = read.select(*PAGE, "idx", body.alias("text"))
