@@ -54,3 +54,32 @@ def per_page(frame: DataFrame, run: Callable[[Rows], Rows], schema: str, keys: S
             yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in want], schema=want)
 
     return packed.mapInArrow(go, full)
+
+
+def picked(frame: DataFrame, pick: Callable, keys: Sequence[str], order: str = "idx") -> DataFrame:
+    """Rows of ``frame`` that ``pick`` keeps, with ``rank``: a fold over many pages at once, without an object a row.
+
+    ``pick(columns, starts)`` gets a batch's rows as Arrow arrays by name, pages
+    one after the other by ``order`` and each beginning at its start (the last
+    start is the end), and gives the positions to keep, page by page, and the
+    rank of each.
+    """
+    rest = [c for c in frame.columns if c not in keys and c != order]
+    packed = frame.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias("__rows"))
+    full = f"{kinds_of(frame, keys)}, {kinds_of(frame, [order, *rest])}, rank int"
+
+    def go(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            lists = b.column("__rows")
+            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            columns = {n: flat.field(n) for n in (order, *rest)}
+            at, rank = pick(columns, starts)
+            take = pa.array(at, pa.int64())
+            page = pa.array(np.searchsorted(starts, at, side="right") - 1, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(page) for k in keys], *[c.take(take) for c in columns.values()], pa.array(rank, pa.int32())], names=[*keys, *columns, "rank"])
+
+    return packed.mapInArrow(go, full).select(*frame.columns, "rank")

@@ -146,20 +146,102 @@ def _col(page: Rows, name: str, kind: type | None = None) -> np.ndarray:
     return np.array([r[name] for r in page], kind) if kind else np.array([r[name] for r in page], object)
 
 
-def per_page(frame: DataFrame, pick: Callable[[Rows], Sequence[int]], keys: Sequence[str] = PAGE, order: str = "idx") -> DataFrame:
-    """Rows that ``pick`` keeps of each page (rows come to it by ``order``), in its order as ``rank``."""
-    names = [c for c in frame.columns if c not in keys]
-    out = paged.per_page(frame, lambda rows: [{**rows[i], "rank": n} for n, i in enumerate(pick(rows))], f"{kinds_of(frame, names)}, rank int", keys, order)
-    return out.select(*frame.columns, "rank")
+def _numbers(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _codes(column) -> np.ndarray:
+    """Equal values as equal numbers; null is a value of its own."""
+    return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _hits(starts: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions (i, j), i before j on one page, that ``test`` finds, sorted by i and then j.
+
+    Pages of one size are taken together, large pages in blocks of rows, so that
+    at most about ``most`` pairs are held at once whatever a page's size.
+    """
+    sizes = np.diff(starts)
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        hit = test(i, j)
+        found.append((i[hit], j[hit]))
+
+    for c in np.unique(sizes[sizes > 1]).tolist():
+        pages = starts[:-1][sizes == c].astype(np.int64)
+        if c * c <= 2 * most:
+            i, j = np.triu_indices(c, 1)
+            step = max(1, most // len(i))
+            for k in range(0, len(pages), step):
+                at = pages[k : k + step, None]
+                add((at + i).ravel(), (at + j).ravel())
+        else:
+            step = max(1, most // c)
+            for at in pages.tolist():
+                for k in range(0, c - 1, step):
+                    i, j = np.nonzero(np.arange(c)[None, :] > np.arange(k, min(k + step, c - 1))[:, None])
+                    add(at + k + i, at + j)
+    i, j = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(i, kind="stable")
+    return i[order], j[order]
+
+
+def _corners(columns: dict) -> np.ndarray:
+    return np.stack([_numbers(columns[c]) for c in ("x1", "y1", "x2", "y2")], axis=1).reshape(-1, 4)
+
+
+def _iou_of(boxes: np.ndarray, i: np.ndarray, j: np.ndarray, one: float = 0.0) -> np.ndarray:
+    a, b = boxes[i], boxes[j]
+    both = np.maximum(np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]) + one, 0) * np.maximum(np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]) + one, 0)
+    size = lambda r: (r[:, 2] - r[:, 0] + one) * (r[:, 3] - r[:, 1] + one)
+    union = size(a) + size(b) - both
+    return np.divide(both, union, out=np.zeros(len(both)), where=union > 0)
+
+
+def _ranked(columns: dict, starts: np.ndarray) -> np.ndarray:
+    """Positions by page and falling score, as ``by_score`` has them."""
+    page = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    return np.lexsort((-np.nan_to_num(_numbers(columns["score"]), nan=-np.inf), page))
+
+
+def _left(starts: np.ndarray, kept: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Kept positions and their rank within the page, at most ``most`` of a page."""
+    at = np.flatnonzero(kept)
+    before = np.concatenate(([0], np.cumsum(kept)))
+    rank = before[at] - before[starts[np.searchsorted(starts, at, side="right") - 1]]
+    return (at, rank) if most is None else (at[rank < most], rank[rank < most])
+
+
+def _greedy(columns: dict, starts: np.ndarray, drops: Callable, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy suppression over a batch of pages: only pairs that ``drops`` names are walked, best first."""
+    order = _ranked(columns, starts)
+    boxes, classes = _corners(columns)[order], _codes(columns["cls"])[order]
+    i, j = _hits(starts, lambda i, j: drops(boxes, classes, i, j))
+    kept = np.ones(len(order), bool)
+    for a, b in zip(i.tolist(), j.tolist()):
+        if kept[a]:
+            kept[b] = False
+    at, rank = _left(starts, kept, most)
+    return order[at], rank
 
 
 def apply_nms(frame: DataFrame, above: float = 0.5, most: int = 100, keys: Sequence[str] = PAGE) -> DataFrame:
     """Greedy same-class suppression of (x1..y2, cls, score, idx) rows by page."""
-    return per_page(frame, lambda p: nms(_boxes(p), _col(p, "cls"), _col(p, "score", float), above, most), keys)
 
+    def drops(boxes, classes, i, j):
+        return (classes[i] == classes[j]) & (_iou_of(boxes, i, j) > above)
+
+    return paged.picked(frame, lambda c, s: _greedy(c, s, drops, most), keys)
+
+
+def apply_layout_nms(frame: DataFrame, keys: Sequence[str] = PAGE, same: float = 0.6, other: float = 0.98) -> DataFrame:
+    """Greedy suppression over all classes with pixel-inclusive overlap."""
+
+    def drops(boxes, classes, i, j):
+        return ~(_iou_of(boxes, i, j, 1.0) < np.where(classes[i] == classes[j], same, other))
 
-def apply_layout_nms(frame: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
-    return per_page(frame, lambda p: layout_nms(_boxes(p), _col(p, "cls"), _col(p, "score", float)), keys)
+    return paged.picked(frame, lambda c, s: _greedy(c, s, drops, None), keys)
 
 
 def apply_nms_merge(frame: DataFrame, modes: dict[str, str], above: float = 0.5, most: int = 100, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -173,16 +255,54 @@ def apply_nms_merge(frame: DataFrame, modes: dict[str, str], above: float = 0.5,
     return paged.per_page(asks, run, f"{kinds_of(frame, ['idx', 'cls'])}, score double, x1 double, y1 double, x2 double, y2 double", keys)
 
 
+def _shares_of(boxes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    a, b = boxes[i], boxes[j]
+    both = np.maximum(np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]), 0) * np.maximum(np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]), 0)
+    size = lambda r: (r[:, 2] - r[:, 0]) * (r[:, 3] - r[:, 1])
+    low = np.minimum(size(a), size(b))
+    return np.divide(both, low, out=np.zeros(len(both)), where=low > 0)
+
+
+def _is(column, value: str) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.equal(column, value), False).to_numpy(zero_copy_only=False)
+
+
 def remove_overlaps(frame: DataFrame, above: float = 0.5, keys: Sequence[str] = PAGE, label: str = "label") -> DataFrame:
-    def kept(page: Rows) -> list[int]:
-        gone = overlap_removed(_boxes(page), [r[label] for r in page], above)
-        return [i for i in range(len(page)) if i not in gone]
+    """Rows that ``overlap_removed`` leaves of each page."""
+
+    def kept(columns: dict, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        boxes, image = _corners(columns), _is(columns[label], "image")
+        size = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+        i, j = _hits(starts, lambda i, j: _shares_of(boxes, i, j) > above)
+        falls = np.where(image[i] != image[j], np.where(image[i], i, j), np.where(size[i] < size[j], i, j))
+        left, now, goes = np.ones(len(boxes), bool), -1, False
+        for a, b, f in zip(i.tolist(), j.tolist(), falls.tolist()):
+            # a box that drops in its own pass goes on comparing
+            if a != now:
+                now, goes = a, left[a]
+            if goes and left[b]:
+                left[f] = False
+        return _left(starts, left)
 
-    return per_page(frame, kept, keys)
+    return paged.picked(frame, kept, keys)
 
 
 def filter_overlaps(frame: DataFrame, above: float = 0.7, keys: Sequence[str] = PAGE, label: str = "label") -> DataFrame:
-    return per_page(frame, lambda p: overlap_filtered(_boxes(p), [r[label] for r in p], above), keys)
+    """Rows that ``overlap_filtered`` leaves of each page."""
+
+    def kept(columns: dict, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        boxes, image, left = _corners(columns), _is(columns[label], "image"), ~_is(columns[label], "reference")
+        size = np.maximum((boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]), 0)
+        i, j = _hits(starts, lambda i, j: (_shares_of(boxes, i, j) > above) & (image[i] == image[j]) & left[i] & left[j])
+        left = left.copy()
+        for a, b, f in zip(i.tolist(), j.tolist(), np.where(size[i] >= size[j], j, i).tolist()):
+            if left[a] and left[b]:
+                left[f] = False
+        return _left(starts, left)
+
+    return paged.picked(frame, kept, keys)
 
 
 def drop_large_images(frame: DataFrame, keys: Sequence[str] = PAGE, image: str = "image") -> DataFrame:

@@ -41,6 +41,31 @@ def test_suppression(n):
     assert len(suppress.nms(boxes, classes, scores, 0.3, 2)) <= 2
 
 
+@pytest.mark.parametrize("most", [1 << 22, 40, 1])
+def test_suppression_by_batches(most, monkeypatch):
+    """The batch form of every suppression against its fold over one page."""
+    import pyarrow as pa
+
+    hits = suppress._hits
+    monkeypatch.setattr(suppress, "_hits", lambda starts, test: hits(starts, test, most))
+    pages = [random_boxes(n).reshape(-1, 4) for n in (0, 1, 7, 7, 25, 2)]
+    starts = np.concatenate(([0], np.cumsum([len(p) for p in pages])))
+    boxes, n = np.concatenate(pages), starts[-1]
+    classes, scores = RNG.integers(0, 3, n), RNG.integers(0, 9, n) / 10
+    labels = [("text", "image", "reference", None)[k] for k in RNG.integers(0, 4, n)]
+    columns = {c: pa.array(boxes[:, k]) for k, c in enumerate(("x1", "y1", "x2", "y2"))} | {"cls": pa.array(classes), "score": pa.array(scores), "label": pa.array(labels)}
+    made = {}
+    monkeypatch.setattr(suppress.paged, "picked", lambda frame, pick, keys: pick(columns, starts))
+    for name, run, plain in (
+        ("nms", lambda: suppress.apply_nms(None, 0.3, 5), lambda a, b: suppress.nms(boxes[a:b], classes[a:b], scores[a:b], 0.3, 5)), ("layout", lambda: suppress.apply_layout_nms(None), lambda a, b: suppress.layout_nms(boxes[a:b], classes[a:b], scores[a:b])),
+        ("removed", lambda: suppress.remove_overlaps(None, 0.5), lambda a, b: [i for i in range(b - a) if i not in suppress.overlap_removed(boxes[a:b], labels[a:b])]), ("filtered", lambda: suppress.filter_overlaps(None, 0.5), lambda a, b: suppress.overlap_filtered(boxes[a:b], labels[a:b], 0.5)),
+    ):
+        at, rank = run()
+        made[name] = list(zip(at.tolist(), rank.tolist()))
+        assert made[name] == [(int(a + i), k) for a, b in zip(starts, starts[1:]) for k, i in enumerate(plain(a, b))], name
+    assert len(made["nms"]) < n
+
+
 def test_dropped_box_goes_on_comparing():
     boxes = np.array([(0, 0, 10, 10), (0, 0, 12, 12), (1, 1, 9, 9)], float)
     assert suppress.overlap_removed(boxes, ["text"] * 3) == {0, 2}
