@@ -241,7 +241,7 @@ def third_box_between(pairs: DataFrame, boxes: DataFrame, keys: Sequence[str] =
 
 def apply_settings(detections: DataFrame, settings: DataFrame, default_threshold: float, default_mode: str = "large") -> DataFrame:
     """Detections over their class's threshold, with its merge_mode; ``settings`` has a row a class (label, threshold, merge_mode)."""
-    out = detections.join(F.broadcast(settings), "label", "left")
+    out = detections.join(settings, "label", "left")
     return out.filter(F.col("score") >= F.coalesce("threshold", F.lit(default_threshold))).withColumn("merge_mode", F.coalesce("merge_mode", F.lit(default_mode))).drop("threshold")
 
 

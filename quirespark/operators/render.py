@@ -10,7 +10,7 @@ document's Markdown.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,10 +121,17 @@ def markdown_parts(elements: DataFrame, tables: DataFrame | None = None, levels:
     return shown.select(*keys, F.col(position).alias("position"), part.alias("part"), glued.alias("glued")).filter("part is not null")
 
 
+def _spaced(parts: Column, text: str, glued: Callable[[Column], Column] = lambda p: F.lit(False)) -> Column:
+    """Texts of structs in order, a blank line before each that is not glued once there is output; in one pass over the parts."""
+    # whatever precedes the first text is empty
+    first = F.array_position(F.transform(parts, lambda p: p[text] != ""), True).cast("int")
+    rest = F.transform(F.slice(parts, first + 1, F.size(parts)), lambda p: F.when(glued(p), p[text]).otherwise(F.concat(F.lit("\n\n"), p[text])))
+    return F.when(first > 0, F.concat(F.get(parts, first - 1)[text], F.array_join(rest, ""))).otherwise("")
+
+
 def _joined(parts: Column) -> Column:
-    """Parts (structs position, part, glued) in order, a blank line before each that is not glued once there is output."""
-    step = lambda acc, p: F.when(p["glued"] | (acc == ""), F.concat(acc, p["part"])).otherwise(F.concat(acc, F.lit("\n\n"), p["part"]))
-    return T.strip(F.aggregate(parts, F.lit(""), step))
+    """Parts (structs position, part, glued) as one text."""
+    return T.strip(_spaced(parts, "part", lambda p: p["glued"]))
 
 
 def page_markdown(elements: DataFrame, tables: DataFrame | None = None, levels: DataFrame | None = None, pages: DataFrame | None = None, position: str = "rank", keys: Sequence[str] = PAGE) -> DataFrame:
@@ -186,12 +193,14 @@ def concat_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_idx")
     rows = F.sort_array(F.collect_list(F.struct(F.col(page).alias("p"), F.col("markdown").alias("m"), F.col("__goes_on").alias("g"))))
     body = F.filter(rows, lambda r: T.strip(r["m"]) != "")
 
-    def step(acc: Column, r: Column) -> Column:
+    def piece(r: Column, before: Column) -> Column:
         tight = F.regexp_replace(r["m"], r"^\s+", "")
-        wide = T.is_cjk(F.right(acc, F.lit(1))) | T.is_cjk(r["m"])
-        return F.when(r["g"], F.concat(acc, F.when(wide, F.lit("")).otherwise(F.lit(" ")), tight)).otherwise(F.concat(acc, F.when(acc == "", F.lit("")).otherwise(F.lit("\n\n")), r["m"]))
+        wide = F.coalesce(T.is_cjk(before), F.lit(False)) | T.is_cjk(r["m"])
+        return F.when(r["g"], F.concat(F.when(wide, F.lit("")).otherwise(F.lit(" ")), tight)).otherwise(F.concat(F.when(before.isNull(), F.lit("")).otherwise(F.lit("\n\n")), r["m"]))
 
-    joined = T.strip(F.aggregate(body, F.lit(""), step))
+    # each page beside the last character of the one before; the pair left over at the end is null
+    ends = F.concat(F.array(F.lit(None).cast("string")), F.transform(body, lambda r: F.right(r["m"], F.lit(1))))
+    joined = T.strip(F.array_join(F.zip_with(body, ends, piece), ""))
     return marked.groupBy(doc).agg(F.when(F.first("__alone"), F.first("markdown")).otherwise(joined).alias("markdown"))
 
 
@@ -227,9 +236,8 @@ def vl_markdown(elements: DataFrame, ignore: Sequence[str] = E.AUXILIARY, pretty
     )
     if pretty:
         part = part.when(kind == "table", F.concat(F.lit("\n"), T.centered_table(text)))
-    rows = F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), part.otherwise(text).alias("m"))))
-    step = lambda acc, r: F.when(acc == "", r["m"]).otherwise(F.concat(acc, F.lit("\n\n"), r["m"]))
-    return shown.groupBy(*keys).agg(F.aggregate(rows, F.lit(""), step).alias("markdown"))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col("__m").alias("m"))))
+    return shown.withColumn("__m", part.otherwise(text)).groupBy(*keys).agg(_spaced(rows, "m").alias("markdown"))
 
 
 def page_summary(regions: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 
 def registry(spark: SparkSession, entries: Iterable[tuple[str, str, int]]) -> DataFrame:
-    """(name, sha256, size) of known files; small, so look-ups broadcast it."""
+    """(name, sha256, size) of known files; look-ups broadcast it where its size allows."""
     return spark.createDataFrame(list(entries), "name string, sha256 string, size long")
 
 
 def find(names: DataFrame, known: DataFrame) -> DataFrame:
     """``names`` (name) with the registered digest and size, null where unknown."""
-    return names.join(F.broadcast(known), "name", "left")
+    return names.join(known, "name", "left")
 
 
 def resolve(path: str, cache: str, known: Iterable[str]) -> str:
@@ -37,5 +37,5 @@ def resolve(path: str, cache: str, known: Iterable[str]) -> str:
 def verify(files: DataFrame, known: DataFrame) -> DataFrame:
     """Binary files (path, content) with ok: name, size and SHA-256 agree with the registry."""
     named = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
-    joined = named.join(F.broadcast(known), "name", "left")
+    joined = named.join(known, "name", "left")
     return joined.select("path", "name", F.coalesce((F.sha2("content", 256) == F.col("sha256")) & (F.length("content") == F.col("size")), F.lit(False)).alias("ok"))
