@@ -11,7 +11,6 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,19 +70,16 @@ def _segments(spans: list[tuple[int, int]], min_gap: int) -> list[tuple[int, int
     if not spans or max(abs(e) for _, e in spans) == 0:
         return []
     most = max(abs(e) for _, e in spans)
-    covered = np.zeros(most + 2, np.int32)
-    for s, e in spans:
-        lo, hi = sorted((abs(s), abs(e)))
-        if lo < min(hi, most + 1):
-            covered[lo] += 1
-            covered[min(hi, most + 1)] -= 1
-    at = np.flatnonzero(np.cumsum(covered)[: most + 1] > 0)
-    if not len(at):
-        return []
-    breaks = np.flatnonzero(np.diff(at) > min_gap)
-    starts = at[np.concatenate(([0], breaks + 1))]
-    ends = at[np.concatenate((breaks, [len(at) - 1]))] + 1
-    return list(zip(starts.tolist(), ends.tolist()))
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((min(abs(s), abs(e)), min(max(abs(s), abs(e)), most + 1)) for s, e in spans):
+        if lo >= hi:
+            continue
+        # the last covered position is one before the end
+        if out and lo - out[-1][1] + 1 <= max(min_gap, 1):
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def _cut(boxes: list[tuple[int, int, int, int]], ids: list[int], first: int, out: list[int], min_gap: int) -> None:
