@@ -75,18 +75,24 @@ def nms_merge(boxes: np.ndarray, classes: np.ndarray, scores: np.ndarray, modes:
     overlaps the box as merged so far; score is the best, position the first. The
     ``most`` best groups stay, in source order.
     """
-    order, done, out = by_score(scores), np.zeros(len(boxes), bool), []
-    for i in order:
-        if done[i]:
-            continue
-        done[i] = True
-        box, best, first = tuple(boxes[i]), float(scores[i]), int(i)
-        mode = modes.get(classes[i], "large")
-        for j in order:
-            if not done[j] and classes[j] == classes[i] and pairwise(np.array([box, boxes[j]]), 0)[1] > above:
-                box, best, first = merge_two(box, tuple(boxes[j]), mode), max(best, float(scores[j])), min(first, int(j))
-                done[j] = True
-        out.append((first, box, classes[i], best))
+    # plain numbers: an array call a pair costs more than the pair
+    order, rows, names, said = by_score(scores).tolist(), np.asarray(boxes, float).tolist(), list(classes), np.asarray(scores, float).tolist()
+    size = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+    out, left = [], order
+    while left:
+        i, *rest = left
+        box, best, first, left = tuple(rows[i]), said[i], i, []
+        mode = modes.get(names[i], "large")
+        for j in rest:
+            if names[j] == names[i]:
+                r = rows[j]
+                both = max(min(r[2], box[2]) - max(r[0], box[0]), 0.0) * max(min(r[3], box[3]) - max(r[1], box[1]), 0.0)
+                union = size(r) + size(box) - both
+                if (both / union if union > 0 else 0.0) > above:
+                    box, best, first = merge_two(box, tuple(r), mode), max(best, said[j]), min(first, j)
+                    continue
+            left.append(j)
+        out.append((first, box, names[i], best))
     return sorted(out[:most], key=lambda r: r[0])
 
 
