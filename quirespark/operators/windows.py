@@ -93,14 +93,28 @@ def continuation_flags(elements: DataFrame, pages: DataFrame | None = None, posi
     return per.select(*keys, F.coalesce(F.col("__l") <= width * 0.05, F.lit(True)).alias("para_start"), F.coalesce(F.col("__r") <= width - width * 0.1, F.lit(True)).alias("para_end"))
 
 
-def coverage(frame: DataFrame, low: str, high: str, keys: Sequence[str] = PAGE) -> DataFrame:
-    """keys, at, n: how many truncated intervals cover each integer, by running sums of their ends."""
+def coverage_levels(frame: DataFrame, low: str, high: str, keys: Sequence[str] = PAGE) -> DataFrame:
+    """keys, at, to, n: stretches [at, to) of integers that equally many (n, at least one) truncated intervals cover, by running sums of their ends."""
     lo, hi = F.abs(F.col(low).cast("int")), F.abs(F.col(high).cast("int"))
     ends = frame.select(*keys, F.explode(F.array(F.struct(F.least(lo, hi).alias("at"), F.lit(1).alias("d")), F.struct(F.greatest(lo, hi).alias("at"), F.lit(-1).alias("d")))).alias("e"))
     steps = ends.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
     w = Window.partitionBy(*keys).orderBy("at")
-    level = steps.withColumn("n", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__to", F.lead("at").over(w))
-    return level.filter("n > 0 and __to is not null").select(*keys, F.explode(F.sequence("at", F.col("__to") - 1)).alias("at"), "n")
+    level = steps.withColumn("n", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("at").over(w))
+    return level.filter("n > 0 and to is not null").select(*keys, "at", "to", "n")
+
+
+def coverage(frame: DataFrame, low: str, high: str, keys: Sequence[str] = PAGE) -> DataFrame:
+    """keys, at, n: how many truncated intervals cover each integer."""
+    return coverage_levels(frame, low, high, keys).select(*keys, F.explode(F.sequence("at", F.col("to") - 1)).alias("at"), "n")
+
+
+def covered_stretches(frame: DataFrame, low: str, high: str, min_value: int = 0, min_gap: int = 1, keys: Sequence[str] = PAGE) -> DataFrame:
+    """keys, start, stop: ``split_profile`` of ``coverage`` from stretches of one level, without a row an integer."""
+    over = coverage_levels(frame, low, high, keys).filter(F.col("n") > min_value)
+    w = Window.partitionBy(*keys).orderBy("at")
+    parted = (F.col("at") - F.lag("to").over(w) + 1 > max(min_gap, 1)).cast("int")
+    runs = over.withColumn("__new", F.coalesce(parted, F.lit(0))).withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "__g").agg(F.min("at").alias("start"), F.max("to").alias("stop")).drop("__g")
 
 
 def split_profile(profile: DataFrame, min_value: int = 0, min_gap: int = 1, keys: Sequence[str] = PAGE) -> DataFrame:

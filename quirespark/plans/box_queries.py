@@ -167,7 +167,7 @@ SELECT doc_id, idx, CASE WHEN c THEN CAST(count(*) FILTER (c) OVER (PARTITION BY
 
 
 def coverage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.split_profile(windows.coverage(boxes(spark, sf_dir), "y1", "y2", DOC), 0, 2, DOC)
+    return windows.covered_stretches(boxes(spark, sf_dir), "y1", "y2", 0, 2, DOC)
 
 
 SQL["coverage_profile"] = f"""WITH {BOXES}, c AS (SELECT DISTINCT doc_id, unnest(range(CAST(y1 AS BIGINT), CAST(y2 AS BIGINT))) AS pos FROM boxes),
