@@ -72,18 +72,19 @@ def markdown_parts(elements: DataFrame, tables: DataFrame | None = None, levels:
     frame = frame.withColumn("page_w", F.max("x2").over(on_page))
     if pages is not None:
         frame = frame.join(pages.select(*keys, F.col("width").alias("__pw")), list(keys), "left").withColumn("page_w", F.coalesce("__pw", "page_w")).drop("__pw")
+    # neighbours of formulas are taken before anything goes, as a column: a join by element would shuffle all texts twice
+    frame = _line_neighbours(frame, keys, position)
     shown = frame.filter(~E.is_auxiliary(F.col("kind")))
-    # doubtful text inside a table is a leftover of the table's cells
-    doubtful = shown.filter((F.col("kind") == "text") & (F.col("confidence") < 0.7)).select(*keys, "idx", "x1", "y1", "x2", "y2")
-    t = frame.filter(F.col("kind") == "table").select(*keys, *(F.col(c).alias("t_" + c) for c in ("x1", "y1", "x2", "y2")))
-    stray = doubtful.join(t, list(keys)).filter(G.ioa(Box.of(), Box.of("t_")) > 0.3).select(*keys, "idx").distinct()
-    shown = shown.join(stray, [*keys, "idx"], "left_anti")
+    # doubtful text inside a table is a leftover of the table's cells; by page alone, so rows stay where they are
+    t = frame.filter(F.col("kind") == "table").select(*(F.col(c).alias("t_" + c) for c in (*keys, "x1", "y1", "x2", "y2")))
+    stray = (F.col("kind") == "text") & (F.col("confidence") < 0.7) & (G.ioa(Box.of(), Box.of("t_")) > 0.3)
+    for k in keys:
+        stray = (F.col(k) == F.col("t_" + k)) & stray
+    shown = shown.join(t, stray, "left_anti")
     shown = segment_flags(shown, position, keys)
     w = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     had_text = F.max(F.col("kind").isin("text", "reference_content").cast("int")).over(w) == 1
     shown = shown.withColumn("glued", (F.col("kind") == "text") & F.coalesce(had_text, F.lit(False)) & ~F.col("seg_start"))
-    inline = _line_neighbours(frame, keys, position).filter(F.col("kind") == "formula").select(*keys, "idx", "inline")
-    shown = shown.join(inline, [*keys, "idx"], "left")
     shown = _best_table(shown, tables, keys) if tables is not None else shown.withColumn("__t", F.lit(None).cast("struct<t_html:string>"))
     shown = shown.join(levels.select(*keys, "idx", "level"), [*keys, "idx"], "left") if levels is not None else shown.withColumn("level", F.lit(None).cast("int"))
 
