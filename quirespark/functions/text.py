@@ -35,8 +35,30 @@ VL_NUMBERED = re.compile(rf"^\s*({'|'.join(_VL_FORMS)})" + r"(\s*)(.*)" + r"\Z")
 _JAVA_NUMBERED = _HEAD + "$"
 
 
+#: texts that are Python objects at one time
+SLICE = 256
+
+
+def by_slices(f: Callable, values):
+    """Arrow texts mapped by ``f``, null as null, a slice at a time: beside the Arrow arrays only a slice's texts are in memory."""
+    import pyarrow as pa
+
+    out = [pa.array([None if v is None else f(v) for v in values.slice(k, SLICE).to_pylist()], pa.string()) for k in range(0, len(values), SLICE)]
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
 def as_udf(f: Callable, returns: str = "string"):
-    """A pandas function applying ``f`` to each non-null value."""
+    """A function over Arrow texts, or a pandas function where the result is no text, applying ``f`` to each non-null value."""
+    if returns == "string":
+        import pyarrow as pa
+
+        def run(values: pa.Array) -> pa.Array:
+            return by_slices(f, values)
+
+        # types, not their names: annotations of this module are texts
+        run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, returns)
+
     @F.pandas_udf(returns)
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else f(v))

@@ -110,3 +110,17 @@ def test_pages_reach_python_column_by_column(spark):
     f = spark.createDataFrame([(2, 1, "b", None), (1, 2, "d", 2.0), (1, 1, "c", 1.0)], "doc_id long, idx int, t string, v double")
     out = paged.per_page(f, lambda page: [{"idx": r["idx"], "t": r["t"], "v": r["v"], "n": len(page)} for r in page], "idx int, t string, v double, n int", ["doc_id"])
     assert sorted(map(tuple, out.collect())) == [(1, 1, "c", 1.0, 2), (1, 2, "d", 2.0, 2), (2, 1, "b", None, 1)]
+
+
+def test_texts_are_objects_a_slice_at_a_time(spark):
+    """A batch's ten thousand texts used to be Python objects all at once, before and after."""
+    import pyarrow as pa
+
+    from quirespark.functions import text as T
+
+    values = pa.array([None if k % 7 == 0 else f"t{k}" for k in range(3 * T.SLICE + 5)])
+    assert T.by_slices(str.upper, values).to_pylist() == [v and v.upper() for v in values.to_pylist()]
+    assert T.by_slices(str.upper, values.slice(0, 0)).to_pylist() == []
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "k int, t string")
+    out = rows.select("k", T.as_udf(str.upper)("t").alias("t"))
+    assert "ArrowEvalPython" in plan_of(out) and sorted(map(tuple, out.collect())) == [(1, "A"), (2, None), (3, "")]
