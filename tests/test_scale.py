@@ -1,11 +1,12 @@
 """What must not grow with the table: width and number of exchanges, rows of a task, array calls on tiny pages."""
 
+import json
 import random
 
 import numpy as np
 import pytest
 
-from quirespark.operators import clusters, paged, reading_order, suppress, windows
+from quirespark.operators import clusters, paged, reading_order, suppress, tables, windows
 from quirespark.plans import inputs, registry
 
 SF = "/root/testdata/sf0.001"
@@ -124,3 +125,53 @@ def test_texts_are_objects_a_slice_at_a_time(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "k int, t string")
     out = rows.select("k", T.as_udf(str.upper)("t").alias("t"))
     assert "ArrowEvalPython" in plan_of(out) and sorted(map(tuple, out.collect())) == [(1, "A"), (2, None), (3, "")]
+
+
+def test_tables_meet_their_texts_without_a_join(spark, monkeypatch):
+    """Packed tables, cells and regions used to be joined page by page, each packed by an exchange and a list of its own."""
+    monkeypatch.setattr(inputs, "PART_BYTES", 10_000)
+    plan = plan_of(registry.queries()["filled_tables"](spark, SF))
+    assert "Join" not in plan and "collect_list" not in plan
+    # boxes lie by page, and tables, cells and regions are read from them: nothing but that is shuffled
+    assert plan.count("Exchange") == 3 == plan.count("REPARTITION_BY_NUM")
+
+
+@pytest.mark.parametrize("records", [1, 3, 10_000])
+def test_pages_wait_for_all_their_arrow_batches(spark, records):
+    box = "x1 double, y1 double, x2 double, y2 double"
+    row = ["<tr>", "<td></td>", "<td></td>", "</tr>"]
+    t = spark.createDataFrame([(k, j, 0.0, 20.0 * j, 100.0, 20.0 * j + 20, row if k != 4 else None, k == 3, False) for k in (1, 2, 3, 4, None) for j in (0, 1)], f"doc_id long, table_idx int, {box}, tokens array<string>, is_e2e boolean, has_detected boolean")
+    c = spark.createDataFrame([(k, j, i, 50.0 * i, 20.0 * j, 50.0 * i + 50, 20.0 * j + 20, 0, i, None) for k in (1, 3, 4, None) for j in (0, 1) for i in (0, 1)], f"doc_id long, table_idx int, cell_idx int, {box}, row int, col int, text string")
+    r = spark.createDataFrame(
+        [(k, i, *b, s, 0.9, "text") for k in (1, 2, 3, 5, None) for i, (b, s) in enumerate([((5.0, 25.0, 45.0, 35.0), "low"), ((5.0, 5.0, 45.0, 15.0), "a\"é"), ((60.0, 5.0, 90.0, 15.0), None), ((60.0, 14.0, 90.0, 26.0), "edge"), ((30.0, 2.0, 80.0, 8.0), "over both")])],
+        f"doc_id long, region_idx int, {box}, text string, confidence double, label string",
+    )
+    f = spark.createDataFrame([(1, 0, 60.0, 30.0, 90.0, 38.0, "x^2")], f"doc_id long, formula_idx int, {box}, latex string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        got = {(x["doc_id"], x["table_idx"]): (x["html"], x["cells"], x["used_regions"]) for x in tables.stitch_tables(t, c, r, f, ["doc_id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for k in (1, 2, 3, 4, None):
+        mine = sorted((x for x in r.collect() if x["doc_id"] == k), key=lambda x: x["region_idx"])
+        spans = [tables.Span((x["x1"], x["y1"], x["x2"], x["y2"]), x["text"], x["confidence"], x["label"]) for x in mine]
+        used = set()
+        for j in (0, 1):
+            cells = [tables.Cell((50.0 * i, 20.0 * j, 50.0 * i + 50, 20.0 * j + 20), 0, i) for i in (0, 1)] if k != 2 else []
+            one = tables.Table((0.0, 20.0 * j, 100.0, 20.0 * j + 20), cells, row if k != 4 else [], k == 3)
+            before = set(used)
+            tables.fill_table(one, spans, [((60.0, 30.0, 90.0, 38.0), "x^2")] if k == 1 else [], used)
+            want[k, j] = (one.html, json.dumps([x.text for x in cells], ensure_ascii=False), sorted(mine[i]["region_idx"] for i in used - before))
+    assert got == want and want[1, 0][2] == [1, 4] and want[None, 1][2] == [0] and 3 in want[3, 0][2] and 3 not in want[3, 1][2]
+
+
+def test_shares_and_markup_are_those_of_single_calls():
+    rnd = random.Random(8)
+    some = lambda: (x := rnd.randint(0, 9), y := rnd.randint(0, 9), x + rnd.randint(-1, 9), y + rnd.randint(-1, 9))
+    for _ in range(500):
+        b, cells, least = some(), [some() for _ in range(6)], rnd.choice([0.05, 0.5, 0.7])
+        assert tables.covering(b, cells, least) == [i for i, c in enumerate(cells) if tables.share(b, c) > least]
+    texts = [None, "L", "é\"\\\n\x01 ", ""]
+    assert tables._json_texts(texts) == json.dumps(texts, ensure_ascii=False)
